@@ -4,11 +4,13 @@ Documents are sets of word shingles. Equal sets are one representative first. Ev
 node chooses, by a hash of its path, which minwise coordinates branch, and a representative goes to the child named by its minwise
 token there. Nodes without two members end; small nodes are compared exhaustively on compact sketches; large ones branch
 again. Trees are independent, so a pair at the threshold that one tree misses with probability q is missed by all with q^trees:
-with two branches a node q is below 0.12, with eight trees below 1e-7. Pairs that sketches let pass are confirmed on full sets.
+with two branches a node q is 0.06 to 0.1, with six trees below 1e-6. Pairs that sketches let pass are confirmed on full sets.
 
-Nodes that stay large at the last level hold documents that share most tokens. Their members are dealt into bounded random cells, each with
-the node's pivot; after the confirmed links are joined, members outside the node's main component meet all members of the node in
-blocks. So nothing is capped, and no node's members meet in one task.
+First each cell (small node) gives a spanning forest of its passing pairs; the confirmed ones are joined. Nodes that stay large at the
+last level hold documents that share most tokens; overlapping ones are one group, whose members are dealt into random cells beside a pivot.
+Then what is still contested (members of cells with passing pairs between different components, and large groups with several
+components) is gathered into clusters, each document once, and all members outside a cluster's main component meet all its members in
+blocks, on full sets. So nothing is capped, no node's members meet in one task, and links inside a component are not listed.
 
 Defined results: null, empty or blank text has an empty set (n_shingles 0) and links with nothing; its component is its own id. Texts below
 the shingle's length are one shingle of all words. A row with a null id keeps a null component and is kept; it links no others.
@@ -34,11 +36,13 @@ _BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
 class NearDupParams:
     shingle: int = 5
     percent: int = 75  # of the union that must be shared
-    trees: int = 8
+    trees: int = 6
     branches: int = 2  # coordinates that a node chooses
     coordinates: int = 128  # minwise tokens of a document; a byte of each is its sketch
     leaf: int = 64  # nodes up to this many members are compared exhaustively
-    levels: int = 5  # the last level's larger nodes are dealt into cells
+    levels: int = 3  # the last level's larger nodes are groups
+    deals: int = 4  # random cells that a group's member takes part in
+    block: int = 192  # members, and outsiders, of a block
     sketch: int = 70  # equal bytes of 128 that let a pair pass: 0.75 less five standard deviations, and chance hits
 
 
@@ -135,52 +139,9 @@ def _branch(nodes: DataFrame, p: NearDupParams) -> DataFrame:
     return nodes.withColumn("key", F.explode(F.array_distinct(F.array(*kids))))
 
 
-def _pairs_of(p: NearDupParams, forest: bool):
-    """Rows (cell, rep, sketch, comp, side) sorted by cell to candidate pairs (a, b) of a cell that sketches let pass.
-
-    forest: only a spanning forest of each cell's passing pairs, by falling likeness. Else all passing pairs of different components.
-    side: rows with side 1 are compared with those of side 0 only, rows with side null with each other."""
-
-    def cell_pairs(rep, sketch, comp, side):
-        n = len(rep)
-        order = np.argsort(rep, kind="stable")
-        rep, sketch, comp = rep[order], sketch[order], comp[order]
-        side = None if side is None else side[order]
-        out_i, out_j, out_s = [], [], []
-        for i in range(n - 1):
-            if side is None:
-                same = (sketch[i + 1 :] == sketch[i]).sum(axis=1)
-                ok = (same >= p.sketch) & (comp[i + 1 :] != comp[i]) & (rep[i + 1 :] != rep[i])
-                j = np.flatnonzero(ok)
-                out_j.append(j + i + 1)
-            elif side[i] == 1:
-                same = (sketch == sketch[i]).sum(axis=1)
-                j = np.flatnonzero((same >= p.sketch) & (side == 0) & (comp != comp[i]))
-                out_j.append(j)
-            else:
-                continue
-            out_i.append(np.full(len(j), i))
-            out_s.append(same[j])
-        if not out_i:
-            return np.zeros((0, 2), np.int64)
-        i, j, s = np.concatenate(out_i), np.concatenate(out_j), np.concatenate(out_s)
-        if forest and len(i) > 1 and n > 2:
-            root = list(range(n))
-
-            def find(x):
-                while root[x] != x:
-                    root[x] = root[root[x]]
-                    x = root[x]
-                return x
-
-            kept = []
-            for k in np.argsort(-s, kind="stable").tolist():
-                x, y = find(int(i[k])), find(int(j[k]))
-                if x != y:
-                    root[x] = y
-                    kept.append(k)
-            i, j = i[kept], j[kept]
-        return np.stack([np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j])], axis=1)
+def _by_cell(work, columns: list[str]):
+    """Runs work(rows of one cell) over rows sorted by cell, across batches; work gives pairs as an array of two columns."""
+    import pandas as pd
 
     def run(batches):
         held = None
@@ -189,22 +150,104 @@ def _pairs_of(p: NearDupParams, forest: bool):
                 pdf = pd.concat([held, pdf], ignore_index=True)
             cell = pdf["cell"].to_numpy()
             cuts = np.flatnonzero(cell[1:] != cell[:-1]) + 1 if len(cell) else np.zeros(0, int)
-            ends = [*cuts.tolist(), len(cell)] if last else cuts.tolist()
-            rep, comp = pdf["rep"].to_numpy(), pdf["comp"].to_numpy()
-            side = pdf["side"].to_numpy() if "side" in pdf else None
-            sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(len(pdf), -1) if len(pdf) else None
             found, at = [], 0
-            for end in ends:
+            for end in [*cuts.tolist(), len(cell)] if last else cuts.tolist():
                 if end - at > 1:
-                    found.append(cell_pairs(rep[at:end], sketch[at:end], comp[at:end], None if side is None else side[at:end]))
+                    found.append(work(pdf.iloc[at:end]))
                 at = end
             held = pdf.iloc[at:]
             both = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-            yield pd.DataFrame({"a": both[:, 0], "b": both[:, 1]})
+            yield pd.DataFrame({columns[0]: both[:, 0], columns[1]: both[:, 1]})
 
     return run
 
 
+def _passing(rows, p: NearDupParams, comp: np.ndarray):
+    """(i, j, equal bytes) of a cell's passing pairs of different components; i < j."""
+    sketch = np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(len(rows), -1)
+    out = []
+    for i in range(len(rows) - 1):
+        same = (sketch[i + 1 :] == sketch[i]).sum(axis=1)
+        j = np.flatnonzero((same >= p.sketch) & (comp[i + 1 :] != comp[i]))
+        if len(j):
+            out.append(np.stack([np.full(len(j), i), j + i + 1, same[j]], axis=1))
+    return np.concatenate(out) if out else np.zeros((0, 3), np.int64)
+
+
+class _Joined:
+    def __init__(self):
+        self.root: dict = {}
+
+    def find(self, x):
+        while (up := self.root.get(x, x)) != x:
+            self.root[x] = x = self.root.get(up, up)
+        return x
+
+    def join(self, x, y) -> bool:
+        x, y = self.find(x), self.find(y)
+        self.root[x] = y
+        return x != y
+
+
+def _forest(p: NearDupParams):
+    """A cell's spanning forest of passing pairs, by falling likeness."""
+
+    def work(rows):
+        rep = rows["rep"].to_numpy()
+        found, joined = _passing(rows, p, rep), _Joined()
+        kept = [(rep[i], rep[j]) for i, j, _ in found[np.argsort(-found[:, 2], kind="stable")].tolist() if joined.join(i, j)]
+        return np.sort(np.array(kept, dtype=np.int64).reshape(-1, 2), axis=1)
+
+    return _by_cell(work, ["a", "b"])
+
+
+def _contested(p: NearDupParams):
+    """(cell, rep) of the members with a passing pair to another component."""
+
+    def work(rows):
+        comp = rows["comp"].to_numpy()
+        if (comp == comp[0]).all():
+            return np.zeros((0, 2), np.int64)
+        at = np.unique(_passing(rows, p, comp)[:, :2])
+        return np.stack([rows["cell"].to_numpy()[at], rows["rep"].to_numpy()[at]], axis=1)
+
+    return _by_cell(work, ["cell", "rep"])
+
+
+def _full(p: NearDupParams):
+    """Confirmed links between the outsiders (side 1) and the members (side 0) of a block, as many as join components.
+
+    Shared shingles are counted for all pairs at once by products of membership matrices, in slices of columns."""
+    shingle = Shingler(p.shingle)
+
+    def work(rows):
+        side, rep, comp = rows["side"].to_numpy(), rows["rep"].to_numpy(), rows["comp"].to_numpy()
+        sets = [shingle(t) for t in rows["text"]]
+        size = np.array([len(x) for x in sets])
+        ids, which = np.unique(np.concatenate(sets), return_inverse=True)
+        row = np.repeat(np.arange(len(sets)), size)
+        twice = np.bincount(which, minlength=len(ids)) > 1
+        column = np.cumsum(twice) - 1
+        keep = twice[which]
+        row, which = row[keep], column[which[keep]]
+        outs, ins = np.flatnonzero(side == 1), np.flatnonzero(side == 0)
+        shared = np.zeros((len(outs), len(ins)), dtype=np.float32)
+        order = np.argsort(which, kind="stable")
+        row, which = row[order], which[order]
+        for at in range(0, int(twice.sum()), 4096):
+            lo, hi = np.searchsorted(which, [at, at + 4096])
+            m = np.zeros((len(sets), 4096), dtype=np.float32)
+            m[row[lo:hi], which[lo:hi] - at] = 1.0
+            shared += m[outs] @ m[ins].T
+        total = size[outs][:, None] + size[ins][None, :] - shared
+        i, j = np.nonzero((100 * shared >= p.percent * total) & (comp[outs][:, None] != comp[ins][None, :]))
+        joined = _Joined()
+        kept = [(rep[outs[x]], rep[ins[y]]) for x, y in zip(i.tolist(), j.tolist()) if joined.join(comp[outs[x]], comp[ins[y]])]
+        return np.sort(np.array(kept, dtype=np.int64).reshape(-1, 2), axis=1)
+
+    return _by_cell(work, ["a", "b"])
+
+
 def _with_last(batches):
     before = None
     for b in batches:
@@ -215,9 +258,8 @@ def _with_last(batches):
         yield True, before
 
 
-def _compare(cells: DataFrame, p: NearDupParams, forest: bool) -> DataFrame:
-    n = partitions(cells.sparkSession)
-    return cells.repartition(n, "cell").sortWithinPartitions("cell").mapInPandas(_pairs_of(p, forest), "a long, b long").distinct()
+def _per_cell(cells: DataFrame, run, ddl: str) -> DataFrame:
+    return cells.repartition(partitions(cells.sparkSession), "cell").sortWithinPartitions("cell").mapInPandas(run, ddl).distinct()
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, p: NearDupParams) -> DataFrame:
@@ -252,47 +294,40 @@ def link(docs: DataFrame, p: NearDupParams = NearDupParams()) -> DataFrame:
     rows = reps.select("rep", F.explode("roots").alias("key"))
     shared = rows.groupBy("key").count().where("count > 1")
     nodes = rows.join(shared, "key").join(reps.select("rep", "sketch"), "rep")
-    small, large = [], []
+    small, hot = [], None
     nodes = materialise(nodes.select("key", "rep", "sketch", "count"))
     for level in range(p.levels):
         small.append(nodes.where(F.col("count") <= p.leaf).select(F.col("key").alias("cell"), "rep", "sketch"))
         big = nodes.where(F.col("count") > p.leaf).drop("count")
-        if level == p.levels - 1:
-            large.append(nodes.where(F.col("count") > p.leaf))
-            break
         if not big.take(1):
             break
+        if level == p.levels - 1:
+            hot = _groups(big)
+            break
         kids = _branch(big, p)
         counts = kids.groupBy("key").count().where("count > 1")
         nodes = materialise(kids.join(counts, "key").select("key", "rep", "sketch", "count"))
     cells = small[0]
     for s in small[1:]:
         cells = cells.union(s)
-    hot = materialise(large[0]) if large and large[0].take(1) else None
     if hot is not None:
-        pivots = hot.groupBy("key").agg(F.min("rep").alias("pivot"), F.min_by("sketch", "rep").alias("psketch"), F.first("count").alias("count"))
-        cell = F.xxhash64("key", F.expr(f"pmod(xxhash64(rep, key), cast(ceil(count / {p.leaf}) as bigint))"))
-        mine = hot.select(cell.alias("cell"), "rep", "sketch")
-        theirs = pivots.select("key", "count", F.col("pivot").alias("rep"), F.col("psketch").alias("sketch"), F.explode(F.expr(f"sequence(0L, cast(ceil(count / {p.leaf}) as bigint) - 1)")).alias("i"))
-        cells = cells.union(mine).union(theirs.select(F.xxhash64("key", "i"), "rep", "sketch"))
+        cells = cells.union(_deal(hot, p))
     cells = materialise(cells)
-    pairs = materialise(_compare(cells.withColumn("comp", F.col("rep")), p, True))
+    pairs = materialise(_per_cell(cells, _forest(p), "a long, b long"))
     active = pairs.select(F.col("a").alias("rep")).union(pairs.select("b"))
-    sets = _texts(docs, reps, described, active, p)
-    judged = materialise(confirm(pairs, sets, p))
-    good = F.expr(f"100 * shared >= {p.percent} * total")
-    links = judged.where(good).select("a", "b")
+    if hot is not None:
+        active = active.union(hot.select("rep"))
+    texts = _texts(docs, reps, active, p)
+    links = materialise(confirm(pairs, texts, p).where(f"100 * shared >= {p.percent} * total").select("a", "b"))
     comp = materialise(components(links))
-    # what the forests left out: passing pairs of a cell that are not yet joined and not yet judged
-    left = _coloured(cells, comp)
-    more = _compare(left, p, False)
+    contested = _per_cell(_coloured(cells, comp), _contested(p), "cell long, rep long")
     if hot is not None:
-        more = more.union(_outsiders(hot, comp, p)).distinct()
-    more = materialise(more.join(judged.select("a", "b"), ["a", "b"], "left_anti"))
-    if more.take(1):
-        active = more.select(F.col("a").alias("rep")).union(more.select("b"))
-        again = confirm(more, _texts(docs, reps, described, active, p), p).where(good).select("a", "b")
-        comp = materialise(components(links.union(again)))
+        contested = contested.union(hot.select("group", "rep"))
+    contested = materialise(contested)
+    if contested.take(1):
+        more = materialise(_settle(contested, comp, texts, p))
+        if more.take(1):
+            comp = materialise(components(links.union(more)))
     # component by set, then by document
     named = reps.select("set_id", "rep", "first").join(comp.withColumnRenamed("v", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     smallest = named.groupBy("component").agg(F.min("first").alias("smallest"))
@@ -300,7 +335,29 @@ def link(docs: DataFrame, p: NearDupParams = NearDupParams()) -> DataFrame:
     return described.select("doc_id", "n_shingles", "set_id").join(by_set, "set_id", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("smallest", "doc_id")).alias("component_id"))
 
 
-def _texts(docs: DataFrame, reps: DataFrame, described: DataFrame, active: DataFrame, p: NearDupParams) -> DataFrame:
+def _groups(big: DataFrame) -> DataFrame:
+    """Large last-level nodes that share members are one group: (group, rep, sketch), each member once."""
+    group = components(big.select(F.col("key").alias("a"), F.col("rep").alias("b"))).withColumnRenamed("v", "rep")
+    members = big.groupBy("rep").agg(F.first("sketch").alias("sketch"))
+    return materialise(members.join(group, "rep").select(F.col("component").alias("group"), "rep", "sketch"))
+
+
+def _deal(hot: DataFrame, p: NearDupParams) -> DataFrame:
+    """Random cells of each group, each with the group's pivot: (cell, rep, sketch)."""
+    size = hot.groupBy("group").agg(F.count("*").alias("m"), F.min("rep").alias("pivot"), F.min_by("sketch", "rep").alias("psketch"))
+    size = materialise(size.withColumn("parts", F.expr(f"cast(ceil(m / {p.leaf}) as bigint)")))
+    dealt = hot.join(size.select("group", "parts"), "group")
+    mine = [dealt.select(F.xxhash64("group", F.lit(k), F.pmod(F.xxhash64("rep", F.lit(k)), F.col("parts"))).alias("cell"), "rep", "sketch") for k in range(p.deals)]
+    for k in range(p.deals):
+        each = size.withColumn("i", F.explode(F.expr("sequence(0L, parts - 1)")))
+        mine.append(each.select(F.xxhash64("group", F.lit(k), "i").alias("cell"), F.col("pivot").alias("rep"), F.col("psketch").alias("sketch")))
+    out = mine[0]
+    for m in mine[1:]:
+        out = out.union(m)
+    return out.dropDuplicates(["cell", "rep"])
+
+
+def _texts(docs: DataFrame, reps: DataFrame, active: DataFrame, p: NearDupParams) -> DataFrame:
     """(rep, text) of the representatives named in active: the text of a document whose set is the representative's."""
     wanted = reps.select("rep", "first", "set_id").join(active.distinct(), "rep", "left_semi")
     near = docs.select(F.col("doc_id").alias("first"), "text").join(wanted, "first")
@@ -316,24 +373,22 @@ def _texts(docs: DataFrame, reps: DataFrame, described: DataFrame, active: DataF
 
 
 def _coloured(cells: DataFrame, comp: DataFrame) -> DataFrame:
-    """Rows of the cells whose members are not all of one component."""
-    c = cells.join(comp.withColumnRenamed("v", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
-    c = materialise(c)
-    mixed = c.groupBy("cell").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("cell")
-    return c.join(mixed, "cell", "left_semi")
-
-
-def _outsiders(hot: DataFrame, comp: DataFrame, p: NearDupParams) -> DataFrame:
-    """Candidate pairs of large last-level nodes: members outside the node's main component against all its members, in blocks."""
-    c = materialise(hot.join(comp.withColumnRenamed("v", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component"))
-    size = c.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    main = size.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("m"), F.max("n").alias("top")).where("top < m")
-    j = c.drop("count").join(main, "key")
-    nu, nm = F.expr(f"cast(ceil((m - top) / {p.leaf}) as bigint)"), F.expr(f"cast(ceil(m / {p.leaf}) as bigint)")
-    h = F.xxhash64("rep", "key")
-    members = j.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), nu - 1))).select(F.xxhash64("key", "i", F.pmod(h, nm)).alias("cell"), "rep", "sketch", "comp", F.lit(0).alias("side"))
-    outs = j.where("comp <> main").withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), nm - 1))).select(F.xxhash64("key", F.pmod(h, nu), "i").alias("cell"), "rep", "sketch", "comp", F.lit(1).alias("side"))
-    return _compare(members.union(outs), p, False)
+    return cells.join(comp.withColumnRenamed("v", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
+
+
+def _settle(contested: DataFrame, comp: DataFrame, texts: DataFrame, p: NearDupParams) -> DataFrame:
+    """Links between components of contested documents: (cell, rep) rows make clusters, in which outsiders meet all members in blocks."""
+    cluster = components(contested.select(F.col("cell").alias("a"), F.col("rep").alias("b"))).withColumnRenamed("v", "rep")
+    c = _coloured(contested.select("rep").distinct(), comp).join(cluster, "rep").withColumnRenamed("component", "cluster")
+    c = materialise(c.select("cluster", "rep", "comp"))
+    size = c.groupBy("cluster", "comp").agg(F.count("*").alias("n"))
+    main = size.groupBy("cluster").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("m"), F.max("n").alias("top")).where("top < m")
+    j = materialise(c.join(main, "cluster"))
+    nu, nm = F.expr(f"cast(ceil((m - top) / {p.block}) as bigint)"), F.expr(f"cast(ceil(m / {p.block}) as bigint)")
+    h = F.xxhash64("rep", "cluster")
+    members = j.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), nu - 1))).select(F.xxhash64("cluster", "i", F.pmod(h, nm)).alias("cell"), "rep", "comp", F.lit(0).alias("side"))
+    outs = j.where("comp <> main").withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), nm - 1))).select(F.xxhash64("cluster", F.pmod(h, nu), "i").alias("cell"), "rep", "comp", F.lit(1).alias("side"))
+    return _per_cell(members.union(outs).join(texts, "rep"), _full(p), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, p: NearDupParams = NearDupParams()) -> DataFrame:
