@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from pyspark.sql import DataFrame, SparkSession
 
+from tessera.operators import colour, compose, modular, stencil, vardct
+from tessera.sources import container, sinks, views
+from tessera.streaming import sections
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").groupBy("label").count()
+_MODULES = (colour, compose, modular, stencil, vardct, container)
+OPERATORS = {k: v for m in _MODULES for k, v in m.OPERATORS.items()}
+QUERIES = {k: v.query() for k, v in OPERATORS.items()} | modular.QUERIES | vardct.QUERIES | container.QUERIES | sinks.QUERIES | sections.QUERIES
+ORACLE_SQL = {k: v.oracle() for k, v in OPERATORS.items()} | {k: q.replace("{contents}", f"({views.VIEWS['contents'].duck})") for k, (_, q) in container.ORACLE.items()} | sections.ORACLE_SQL
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return QUERIES["flagship_band_statistics"](spark, sf_dir)
