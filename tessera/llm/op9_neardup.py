@@ -4,7 +4,8 @@ Documents are sets of word shingles. Equal sets are one representative first. Ev
 node chooses, by a hash of its path, which minwise coordinates branch, and a representative goes to the child named by its minwise
 token there. Nodes without two members end; small nodes are compared exhaustively on compact sketches; large ones branch
 again. Trees are independent, so a pair at the threshold that one tree misses with probability q is missed by all with q^trees:
-with two branches a node q is 0.06 to 0.1, with six trees below 1e-6. Pairs that sketches let pass are confirmed on full sets.
+with two branches of the root q is 0.06 where its children are small, with eight trees 2e-10; where they are large and branch twice more
+(once each, so that a document's rows don't multiply), q is 0.33 at most and the miss 2e-4, for a pair that no third document joins. Pairs that sketches let pass are confirmed on full sets.
 
 First each cell (small node) gives a spanning forest of its passing pairs; the confirmed ones are joined. Nodes that stay large at the
 last level hold documents that share most tokens; overlapping ones are one group, whose members are dealt into random cells beside a pivot.
@@ -36,8 +37,8 @@ _BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
 class NearDupParams:
     shingle: int = 5
     percent: int = 75  # of the union that must be shared
-    trees: int = 6
-    branches: int = 2  # coordinates that a node chooses
+    trees: int = 8
+    branches: int = 2  # coordinates that a root chooses; later nodes choose one
     coordinates: int = 128  # minwise tokens of a document; a byte of each is its sketch
     leaf: int = 64  # nodes up to this many members are compared exhaustively
     levels: int = 3  # the last level's larger nodes are groups
@@ -130,13 +131,9 @@ def root_choice(p: NearDupParams) -> np.ndarray:
 
 
 def _branch(nodes: DataFrame, p: NearDupParams) -> DataFrame:
-    """(key, rep, sketch) to the children's (key, rep, sketch): the path's hash chooses the coordinates, the sketch byte there names the child."""
-
-    def at(i):
-        return F.pmod(F.xxhash64("key", F.lit(i)), F.lit(p.coordinates)).cast("int")
-
-    kids = [F.xxhash64("key", at(i), F.substring(F.col("sketch"), at(i) + 1, F.lit(1))) for i in range(p.branches)]
-    return nodes.withColumn("key", F.explode(F.array_distinct(F.array(*kids))))
+    """(key, rep, sketch) to the children's (key, rep, sketch): the path's hash chooses a coordinate, the sketch byte there names the child."""
+    at = F.pmod(F.xxhash64("key"), F.lit(p.coordinates)).cast("int")
+    return nodes.withColumn("key", F.xxhash64("key", F.substring(F.col("sketch"), at + 1, F.lit(1))))
 
 
 def _by_cell(work, columns: list[str]):
