@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_checked, map_rows, table
+from .common import join_checked, map_rows, materialise, table
 
 _WORDS = re.compile(r"[^\W\d_]+").findall
 CACHE = 200_000
@@ -107,28 +107,15 @@ class ToxicityModel:
         return out or [0.0] * len(self.params.categories)
 
 
-def fit_chain(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, fold: np.ndarray, p: ToxicityParams) -> ToxicityModel:
-    """rows: feature hashes of each text; y: categories by row."""
+def fit_chain(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, fold: np.ndarray, kept: list[int], p: ToxicityParams) -> ToxicityModel:
+    """rows: the kept feature hashes of each text; y: categories by row."""
     if not len(rows):
         return ToxicityModel(p)
-    every, inverse = np.unique(np.concatenate([*rows, np.zeros(0, np.int64)]), return_inverse=True)
-    at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    chosen: set[int] = set()
-    support = np.bincount(inverse, minlength=len(every))
-    for c in range(y.shape[1]):
-        pos = np.bincount(inverse, weights=y[at, c], minlength=len(every))
-        n1 = max(y[:, c].sum(), 1)
-        n0 = max(len(y) - y[:, c].sum(), 1)
-        score = np.where(support >= 3, np.abs(pos / n1 - (support - pos) / n0), -1.0)
-        best = np.argsort(-score, kind="stable")[: p.features // y.shape[1]]
-        chosen.update(best[score[best] > 0].tolist())
-    kept = np.array(sorted(chosen), dtype=np.int64)
-    column = np.full(len(every), -1)
-    column[kept] = np.arange(len(kept))
+    column = {h: i for i, h in enumerate(kept)}
     x = np.zeros((len(rows), len(kept)), dtype=np.float32)
-    there = column[inverse] >= 0
-    x[at[there], column[inverse[there]]] = 1.0
-    model = ToxicityModel(p, {int(every[k]): i for i, k in enumerate(kept)})
+    for i, r in enumerate(rows):
+        x[i, [column[int(h)] for h in r]] = 1.0
+    model = ToxicityModel(p, column)
     before = np.zeros((len(rows), 0), dtype=np.float32)
     for c in range(y.shape[1]):
         full = np.hstack([x, before])
@@ -171,11 +158,28 @@ def fit(docs: DataFrame, labels: DataFrame, p: ToxicityParams = ToxicityParams()
         return lambda cols: ((i, *[float(cols[c][k]) for c in cats], sorted(text_features(cols["text"][k]))) for k, i in enumerate(cols["doc_id"]))
 
     found = join_checked(docs.select("doc_id", "text"), sample, ["doc_id"])
-    got = map_rows(found, start, "doc_id long, " + ", ".join(f"`{c}` double" for c in cats) + ", at array<long>").toPandas().sort_values("doc_id", kind="stable")
+    ddl = "doc_id long, " + ", ".join(f"`{c}` double" for c in cats) + ", at array<long>"
+    rows = materialise(map_rows(found, start, ddl))
+    kept = telling(rows, cats, p)
+    own = F.array_intersect("at", F.array(*map(F.lit, kept))) if kept else F.slice("at", 1, 0)
+    got = rows.select("doc_id", *cats, own.alias("at")).toPandas().sort_values("doc_id", kind="stable")
     y = got[cats].to_numpy(dtype=float).reshape(len(got), len(cats))
     weight = np.where(y[:, -1] == 1, 1 / share[1], 1 / share[0]) if len(got) else np.zeros(0)
     fold = np.array([zlib.crc32(str(i).encode()) % p.folds for i in got["doc_id"]], dtype=int)
-    return fit_chain([np.asarray(a, dtype=np.int64) for a in got["at"]], y, weight, fold, p)
+    return fit_chain([np.asarray(a, dtype=np.int64) for a in got["at"]], y, weight, fold, kept, p)
+
+
+def telling(rows: DataFrame, cats: list[str], p: ToxicityParams) -> list[int]:
+    """The features of at least three rows whose rates differ most between a category's rows and the others; only these reach the driver."""
+    n = rows.agg(F.count("*"), *[F.sum(c) for c in cats]).first()
+    seen = materialise(rows.select(*cats, F.explode("at").alias("h")).groupBy("h").agg(F.count("*").alias("s"), *[F.sum(c).alias(c) for c in cats]).where("s >= 3"))
+    out: set[int] = set()
+    for c, n1 in zip(cats, n[1:]):
+        n1 = n1 or 0.0
+        score = F.abs(F.col(c) / max(n1, 1.0) - (F.col("s") - F.col(c)) / max(n[0] - n1, 1.0))
+        best = seen.select("h", score.alias("d")).where("d > 0").orderBy(F.desc("d"), "h").limit(p.features // len(cats))
+        out.update(r["h"] for r in best.collect())
+    return sorted(out)
 
 
 def categories(labels: DataFrame) -> DataFrame:
