@@ -236,6 +236,7 @@ def _full(p: NearDupParams):
             m = np.zeros((len(sets), 4096), dtype=np.float32)
             m[row[lo:hi], which[lo:hi] - at] = 1.0
             shared += m[outs] @ m[ins].T
+        shared = shared.astype(np.int64)  # counts are exact below 2^24; a hundred times one need not be
         total = size[outs][:, None] + size[ins][None, :] - shared
         i, j = np.nonzero((100 * shared >= p.percent * total) & (comp[outs][:, None] != comp[ins][None, :]))
         joined = _Joined()
