@@ -33,6 +33,7 @@ class ToxicityParams:
     max_positive: int = 2000  # bounds on the labelled sample by the last category
     max_negative: int = 4000
     features: int = 1024
+    floor: float = 4.0  # standard errors by which a feature's rates must differ; below, a small sample's chance words decide
     folds: int = 3
     steps: int = 120
     l2: float = 1e-3
@@ -170,14 +171,17 @@ def fit(docs: DataFrame, labels: DataFrame, p: ToxicityParams = ToxicityParams()
 
 
 def telling(rows: DataFrame, cats: list[str], p: ToxicityParams) -> list[int]:
-    """The features of at least three rows whose rates differ most between a category's rows and the others; only these reach the driver."""
+    """The features of at least three rows whose rates differ most, and beyond chance, between a category's rows and the others; only these
+    reach the driver."""
     n = rows.agg(F.count("*"), *[F.sum(c) for c in cats]).first()
     seen = materialise(rows.select(*cats, F.explode("at").alias("h")).groupBy("h").agg(F.count("*").alias("s"), *[F.sum(c).alias(c) for c in cats]).where("s >= 3"))
     out: set[int] = set()
     for c, n1 in zip(cats, n[1:]):
         n1 = n1 or 0.0
         score = F.abs(F.col(c) / max(n1, 1.0) - (F.col("s") - F.col(c)) / max(n[0] - n1, 1.0))
-        best = seen.select("h", score.alias("d")).where("d > 0").orderBy(F.desc("d"), "h").limit(p.features // len(cats))
+        rate = F.col("s") / max(n[0], 1)
+        error = F.sqrt(rate * (1 - rate) * (1 / max(n1, 1.0) + 1 / max(n[0] - n1, 1.0)))
+        best = seen.select("h", score.alias("d"), error.alias("e")).where(F.expr(f"d > 0 and d >= {p.floor} * e")).orderBy(F.desc("d"), "h").limit(p.features // len(cats))
         out.update(r["h"] for r in best.collect())
     return sorted(out)
 

@@ -148,6 +148,15 @@ def test_toxicity(spark, odd, empty):
     assert kept.count() == len(ODD) and kept.columns == odd.columns
 
 
+def test_toxicity_of_few_labels_leaves_clean_texts(spark):
+    draw = np.random.default_rng(5)
+    made = [" ".join(f"w{''.join('abcdefghij'[int(d)] for d in str(k))}" for k in draw.integers(0, 3000, 60)) + (" moron" if i % 8 == 0 else "") for i in range(1000)]
+    docs = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0, int(i % 8 == 0)) for i in range(88)], "doc_id long, low_quality int, toxic int")
+    wrong = [r.doc_id for r in op6_toxicity.predict(docs, op6_toxicity.fit(docs, labels)).collect() if r.toxic != (r.doc_id % 8 == 0)]
+    assert len(wrong) <= 10
+
+
 RULES = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
 
 
