@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tessera.functions import primaries as pr
 from tessera.functions import transfer as t
 from tessera.relational import Operator
 
@@ -17,6 +18,19 @@ def _each(id_, f):
 _LIN = [f"c{i}*0.5e0" for i in range(3)]
 _LUM = (0.2627, 0.678, 0.0593)
 
+
+def _matrix(id_, m):
+    return _three(id_, ["+".join(f"({float(v)!r}+0e0)*c{i}" for i, v in enumerate(row)) for row in m])
+
+
+def _pick(column, names):
+    return f"case {column} % {len(names)} " + " ".join(f"when {i} then '{n}'" for i, n in enumerate(names)) + " end"
+
+
+_NAMES = "select k, l, " + ", ".join(f"{_pick(c, n)} {a}" for c, n, a in (("l", ("RGB", "Gra", "XYB"), "space"), ("c0", tuple(pr.WHITE_POINTS), "white"), ("c1", tuple(pr.PRIMARIES), "prim"), ("c2", pr.TRANSFERS, "trans"), ("k", pr.INTENTS, "intent"))) + " from {pix}"
+_POINTS = " union all ".join(f"select '{n}' name, {x!r}+0e0 x, {y!r}+0e0 y" for n, (x, y) in pr.WHITE_POINTS.items())
+_BT2100 = (pr.PRIMARIES["202"], pr.WHITE_POINTS["D65"])
+
 OPERATORS = {
     "p1_convert_u8": Operator("P1", "select k, l, c0/255e0 v0, c1/255e0 v1 from {pix}", ("pix",)),
     "p2_convert_int": Operator("P2", "select k, l, c0/(pow(2e0, @bits)-1e0) v0, c1/(pow(2e0, @bits)-1e0) v1 from {pix}", ("pix",), {"bits": 6}),
@@ -37,6 +51,10 @@ OPERATORS = {
     "p29_spot": _three("P29", [f"0.5e0*least(greatest(c2,0e0),1e0)*{s}+(1e0-0.5e0*least(greatest(c2,0e0),1e0))*c{i}" for i, s in enumerate(("0.8e0", "0.2e0", "0.4e0"))]),
     "f7_fast_math": Operator("F7", f"select y, x, round({t.erf('v')}, 6) erf, round(cos(v), 6) cos, round(pow(2e0, v), 6) pow2, round(log2(abs(v)+1e0), 6) log2 from {{plane}}", ("plane",)),
     "f8_rational": Operator("F8", "select y, x, round((0.5e0+v*(0.25e0+v*0.125e0))/(1e0+abs(v)*(0.5e0+abs(v)*0.25e0)), 6) v from {plane}", ("plane",)),
+    "f12_primaries_to_xyz": _matrix("F12", pr.rgb_to_xyz(*_BT2100)),
+    "f12_adapted_to_d50": _matrix("F12", pr.adapt_to_d50(_BT2100[1]) @ pr.rgb_to_xyz(*_BT2100)),
+    "f13_white_points": Operator("F13", f"select n.k, n.l, n.white, round(w.x, 6) wx, round(w.y, 6) wy from ({_NAMES}) n join ({_POINTS}) w on w.name = n.white", ("pix",)),
+    "f14_description": Operator("F14", f"select k, l, {pr.description('space', 'white', 'prim', 'trans', 'intent')} d from ({_NAMES}) n", ("pix",)),
     "f9_matrix3": _three("F9", ["0.4124e0*c0+0.3576e0*c1+0.1805e0*c2", "0.2126e0*c0+0.7152e0*c1+0.0722e0*c2", "0.0193e0*c0+0.1192e0*c1+0.9505e0*c2"]),
     "f17_to_u8": Operator("F17", f"select y, x, {t.to_u8('c0')} c0, {t.to_u8('c1')} c1, {t.to_u8('c2')} c2 from {{rgb}}", ("rgb",)),
     "v1_lf_cfl": _three("V1", ["c1*0.03125e0*1.5e0+c0*0.25e0", "c0*0.0625e0", "c2*0.125e0+c0*0.75e0"]),

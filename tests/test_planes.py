@@ -194,3 +194,13 @@ def test_png_reads_back():
     rows = np.frombuffer(zlib.decompress(raw[at + 4 : at + 4 + n]), np.uint8).reshape(5, 8)
     assert (rows[:, 0] == 0).all() and (rows[:, 1:] == sinks.to_u8(v)).all()
     assert sinks.ppm(v).startswith(b"P5\n7 5\n255\n") and sinks.apng_delay(40) == (1, 25)
+
+
+def test_primaries():
+    from tessera.functions import primaries as pr
+
+    m = pr.rgb_to_xyz(((0.64, 0.33), (0.3, 0.6), (0.15, 0.06)), (0.3127, 0.3290))
+    assert np.allclose(m, [[0.4124, 0.3576, 0.1805], [0.2126, 0.7152, 0.0722], [0.0193, 0.1192, 0.9505]], atol=2e-4)
+    assert np.allclose(pr.adapt_to_d50((0.3127, 0.3290)) @ m @ np.ones(3), pr.D50, atol=1e-9)
+    with pytest.raises(ValueError):
+        pr.xyz(0.3, 0.0)
