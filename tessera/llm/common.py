@@ -82,6 +82,8 @@ def _local_forest(batches):
     for pdf in batches:
         for a, b in zip(pdf["a"].tolist(), pdf["b"].tolist()):
             ra, rb = find(a), find(b)
+            root.setdefault(ra, ra)
+            root.setdefault(rb, rb)
             if ra != rb:
                 root[max(ra, rb)] = min(ra, rb)
         if len(root) > 2_000_000:  # bounded memory: hand on what is known, start anew
@@ -92,14 +94,18 @@ def _local_forest(batches):
     yield pd.DataFrame({"a": np.array(keys, dtype="int64"), "b": np.array([find(k) for k in keys], dtype="int64")})
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, most: int = 200_000) -> DataFrame:
     """(a, b) long pairs to (v, component): the smallest vertex reachable; every vertex of an edge appears.
 
-    Each partition first shrinks its edges to a forest; then large-star and small-star steps alternate until nothing changes.
+    Each partition first shrinks its edges to a forest. Forests of at most `most` edges in all, by count, are joined by one task on an
+    executor; of larger ones, large-star and small-star steps alternate until nothing changes.
     Minima are pre-aggregated, so a hub with any number of links is no hot task; the joins back are split by AQE."""
     spark = edges.sparkSession
     e = edges.where("a <> b").select(F.col("a").cast("long"), F.col("b").cast("long"))
     e = materialise(e.repartition(partitions(spark)).mapInPandas(_local_forest, "a long, b long").where("a <> b"))
+    if e.count() <= most:
+        star = e.coalesce(1).mapInPandas(_local_forest, "a long, b long")
+        return star.select(F.col("a").alias("v"), F.col("b").alias("component"))
     sign = None
     while True:
         both = e.select("a", "b").union(e.select("b", "a"))

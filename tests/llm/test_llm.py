@@ -255,3 +255,19 @@ def test_language_model_is_normalised():
     m = op10_lm.LogBilinear(p)
     ctx = np.zeros((8, 2), dtype=np.int32)
     assert abs((10 ** m.log10(ctx, np.arange(8))).sum() - 1) < 1e-5
+
+
+@pytest.mark.parametrize("most", [0, 200_000])
+def test_components(spark, most):
+    from tessera.llm.common import components
+
+    draw = np.random.default_rng(4)
+    edges = [tuple(x) for x in draw.integers(0, 400, (260, 2)).tolist()] + [(1000, k) for k in range(1001, 1300)] + [(k, k + 1) for k in range(2000, 2040)]
+    low = {v: v for e in edges if e[0] != e[1] for v in e}
+    for _ in range(len(low)):
+        for a, b in edges:
+            if a != b:
+                low[a] = low[b] = min(low[a], low[b])
+    got = components(spark.createDataFrame(edges, "a long, b long"), most).collect()
+    assert {r.v: r.component for r in got} == low and len(got) == len(low)
+    assert components(spark.createDataFrame([], "a long, b long"), most).count() == 0
