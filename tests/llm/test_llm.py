@@ -257,6 +257,28 @@ def test_language_model_is_normalised():
     assert abs((10 ** m.log10(ctx, np.arange(8))).sum() - 1) < 1e-5
 
 
+def test_language_model_units_follow_the_corpus():
+    frequent = [(f"{i}same".encode(), 4000 // (i + 4)) for i in range(3000)]  # one ending for all
+    tokens = sum(c for _, c in frequent)
+    p = op10_lm.LmParams(coverage=0.9).sized(frequent, tokens)
+    assert sum(c for _, c in frequent[: p.own]) >= 0.9 * tokens > sum(c for _, c in frequent[: p.own - 1]) and p.own > 1000
+    assert op10_lm.LmParams(coverage=0.9).sized(frequent[:300], tokens).own == 300
+    vocab = op10_lm.Vocabulary(frequent, p)
+    draw = np.random.default_rng(0)
+    firsts = draw.permutation(400)[:40] + 200  # words that the 192 units of before left to their ending; each is followed by the next one
+    docs = [vocab.look_up([frequent[k][0], frequent[k + 1][0]])[1] for k in np.repeat(firsts, 100)]
+    m = op10_lm.LogBilinear(p)
+    m.start(np.ones(p.units))
+    ctx, y = m.contexts(docs)
+    g = np.full_like(m.flat, 1e-4)
+    for _ in range(20):
+        m.train(ctx, y, np.ones(p.units), draw, g, p.rate)
+    every = np.repeat(ctx[1:2], p.units, axis=0)
+    assert abs((10 ** m.log10(every, np.arange(p.units))).sum() - 1) < 1e-4
+    right, wrong = m.log10(ctx[1::200], y[1::200]), m.log10(ctx[1::200], np.roll(y[1::200], 1))
+    assert right.mean() > wrong.mean() + 0.5
+
+
 @pytest.mark.parametrize("most", [0, 200_000])
 def test_components(spark, most):
     from tessera.llm.common import components
