@@ -14,9 +14,17 @@ _SIZE = "with s as (select p.*, max(x) over () + 1 w, max(y) over () + 1 h from
 #: One number for the size, from a pre-aggregated scan, instead of a global window.
 _SIZE = "with z as (select max(x)+1 w, max(y)+1 h from {plane}), s as (select p.y, p.x, p.v, z.w, z.h from {plane} p, z)"
 
-# A canvas of 64 x 40; frame k lies at (k, 2k) and may reach over the border.
-_CANVAS = "canvas as (select a.y*8+b.y y, x from (select distinct x from {frames}) c, (" + " union all ".join(f"select {i} y" for i in range(5)) + ") a, (" + " union all ".join(f"select {i} y" for i in range(8)) + ") b)"
-_PLACED = "placed as (select frame, y + 2*frame y, x + frame x, v from {frames} where y + 2*frame < 40 and x + frame < 64)"
+# Frame k lies at (k, 2k) of a canvas that holds all frames whole. Frames save to the slot of their number, of four, and meet the last frame saved
+# to another slot, as it is stored. The hints (to DuckDB comments) deal out the canvas's rows and send its few columns and frames to them.
+_PLACED = "placed as (select frame, y + 2*frame y, x + frame x, v from {frames}), size as (select max(x) w, max(y) h from placed), f as (select distinct frame from {frames})"
+_CANVAS = "ys as (select /*+ repartition(y) */ y from (select @each(h)) y from size) a), xs as (select @each(w)) x from size), canvas as (select /*+ broadcast(xs, f) */ f.frame, ref, y, x from ys cross join xs cross join refs f)"
+
+
+def over_slot(ahead: int, v: str) -> str:
+    """Each frame c on the whole canvas k with the frame o of the slot `ahead` of its own."""
+    refs = f"refs as (select c.frame, max(o.frame) ref from f c left join f o on o.frame < c.frame and o.frame % 4 = (c.frame + {ahead}) % 4 group by c.frame)"
+    return f"with {_PLACED}, {refs}, {_CANVAS} select k.frame, k.y, k.x, {v} v from canvas k left join placed c on c.frame = k.frame and c.y = k.y and c.x = k.x left join placed o on o.frame = k.ref and o.y = k.y and o.x = k.x"
+
 
 # Patches (id, source rectangle, place, mode); drawn in the order of their ids.
 PATCHES = [(0, 4, 2, 9, 7, 10, 5, "add"), (1, 0, 0, 16, 12, 20, 8, "replace"), (2, 8, 8, 12, 12, 22, 12, "add"), (3, 1, 3, 20, 4, 30, 20, "mul")]
@@ -58,8 +66,8 @@ OPERATORS = {
     "p14_patches": Operator("P14", patch_query(), ("frames",)),
     "p15_patch_rows": Operator("P15", "with patches as (" + " union all ".join(f"select {p[0]} id, {p[6]} y0, {p[6] + p[4]} y1" for p in PATCHES) + "), n as (" + " union all ".join(f"select {i} i" for i in range(max(p[4] for p in PATCHES))) + "), r as (select id, y0+i y from patches join n on y0+i < y1) select f.y, r.id from (select distinct y from {frames}) f join r on r.y = f.y", ("frames",)),
     "p16_splines": Operator("P16", spline_query(), ("rgb",)),
-    "p26_frame_blending": Operator("P26", f"with {_CANVAS}, {_PLACED}, cur as (select * from placed where frame = 2), old as (select * from placed where frame = 1) select k.y, k.x, round(case when c.v is null then coalesce(o.v, 0e0) else c.v*least(greatest(c.v+0.5e0,0e0),1e0)+coalesce(o.v, 0e0) end, 6) v from canvas k left join cur c on c.y = k.y and c.x = k.x left join old o on o.y = k.y and o.x = k.x", ("frames",)),
-    "p28_extend": Operator("P28", f"with {_CANVAS}, {_PLACED}, cur as (select * from placed where frame = 3), old as (select * from placed where frame = 0) select k.y, k.x, coalesce(c.v, o.v, 0e0) v from canvas k left join cur c on c.y = k.y and c.x = k.x left join old o on o.y = k.y and o.x = k.x", ("frames",)),
+    "p26_frame_blending": Operator("P26", over_slot(3, "round(case when c.v is null then coalesce(o.v, 0e0) else c.v*least(greatest(c.v+0.5e0,0e0),1e0)+coalesce(o.v, 0e0) end, 6)"), ("frames",)),
+    "p28_extend": Operator("P28", over_slot(1, "coalesce(c.v, o.v, 0e0)"), ("frames",)),
     "p30_save_rows": Operator("P30", "select y, x, " + ", ".join(f"{t.to_u8(f'c{i}')} s{i}" for i in (2, 1, 0)) + " from {rgb}", ("rgb",)),
     "d11_reference_slots": Operator("D11", "with f as (select frame, frame % 4 slot, count(*) n from {frames} group by frame), w as (select f.*, " + ", ".join(f"max(case when slot = {s} then frame end) over (order by frame rows between unbounded preceding and 1 preceding) slot{s}" for s in range(4)) + " from f) select frame, slot, n, slot0, slot1, slot2, slot3 from w", ("frames",)),
     "t7_timeline": Operator("T7", "with f as (select frame, count(*) n from {frames} group by frame) select frame, n*40e0 ms, sum(n*40e0) over (order by frame) until_ms from f", ("frames",)),

@@ -1,7 +1,7 @@
 """One description of a relational operator for both engines: a SQL template over named inputs.
 
 Templates name their inputs as {input}. On Spark an input is a DataFrame, and Catalyst plans the whole; the DuckDB text has sub-queries in
-the same places. @div is integer division that truncates; numbers with an exponent (1e0) are doubles in both engines."""
+the same places. @div is integer division that truncates; @each(n)) makes rows of 0 to n; numbers with an exponent (1e0) are doubles in both engines."""
 
 from __future__ import annotations
 
@@ -28,13 +28,13 @@ class Operator:
 
     def apply(self, spark: SparkSession, **frames: DataFrame) -> DataFrame:
         """The operator over any frames that have its inputs' columns."""
-        return spark.sql(self.text().replace("@div", "div"), **frames)
+        return spark.sql(self.text().replace("@div", "div").replace("@each(", "explode(sequence(0, "), **frames)
 
     def query(self) -> Callable[[SparkSession, str], DataFrame]:
         return lambda spark, sf_dir: self.apply(spark, **{n: views.VIEWS[n].spark(spark, sf_dir) for n in self.inputs})
 
     def oracle(self) -> str:
-        out = self.text().replace("@div", "//")
+        out = self.text().replace("@div", "//").replace("@each(", "unnest(range(0, 1 + ")
         for n in self.inputs:
             out = out.replace("{" + n + "}", f"({views.VIEWS[n].duck})")
         return out

@@ -87,6 +87,27 @@ def test_upsampling_equals_numpy(spark):
         assert abs(r.v - min(max(want, w.min()), w.max())) < 2e-6
 
 
+def test_frames_meet_their_slots_whole(spark):
+    draw = np.random.default_rng(2)
+    sizes = {0: (50, 64), 1: (3, 70), 3: (45, 5), 4: (1, 2), 9: (6, 66)}  # gaps, and rows and columns beyond 40 and 64
+    v = {k: draw.normal(size=s) for k, s in sizes.items()}
+    frames = spark.createDataFrame([(k, y, x, float(p[y, x])) for k, p in v.items() for y, x in np.ndindex(p.shape)], "frame int, y int, x int, v double")
+    high, wide = max(h + 2 * k for k, (h, _) in sizes.items()), max(w + k for k, (_, w) in sizes.items())
+    placed = {}
+    for k, p in v.items():
+        placed[k] = np.full((high, wide), np.nan)
+        placed[k][2 * k : 2 * k + p.shape[0], k : k + p.shape[1]] = p
+    for name, slot in (("p26_frame_blending", 3), ("p28_extend", 1)):
+        got = {(r.frame, r.y, r.x): r.v for r in compose.OPERATORS[name].apply(spark, frames=frames).collect()}
+        assert len(got) == len(v) * high * wide
+        for k, c in placed.items():
+            before = [o for o in v if o < k and o % 4 == (k + slot) % 4]
+            old = np.nan_to_num(placed[max(before)]) if before else np.zeros((high, wide))
+            new = c * np.clip(c + 0.5, 0, 1) + old if slot == 3 else c
+            want = np.where(np.isnan(c), old, new)
+            assert np.allclose([[got[k, y, x] for x in range(wide)] for y in range(high)], want, atol=1e-6)
+
+
 def test_empty_planes(spark):
     plane = spark.createDataFrame([], "y int, x int, v double")
     for name in ("p6_gaborish", "p12_upsample2", "p4_chroma_up_x"):
