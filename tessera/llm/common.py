@@ -19,9 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that all executors see: spark.checkpoint.dir. Where that is unset, one of our own, which only a local master can share."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -94,18 +96,14 @@ def _local_forest(batches):
     yield pd.DataFrame({"a": np.array(keys, dtype="int64"), "b": np.array([find(k) for k in keys], dtype="int64")})
 
 
-def components(edges: DataFrame, most: int = 200_000) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(a, b) long pairs to (v, component): the smallest vertex reachable; every vertex of an edge appears.
 
-    Each partition first shrinks its edges to a forest. Forests of at most `most` edges in all, by count, are joined by one task on an
-    executor; of larger ones, large-star and small-star steps alternate until nothing changes.
+    Each partition first shrinks its edges to a forest; then large-star and small-star steps alternate until nothing changes.
     Minima are pre-aggregated, so a hub with any number of links is no hot task; the joins back are split by AQE."""
     spark = edges.sparkSession
     e = edges.where("a <> b").select(F.col("a").cast("long"), F.col("b").cast("long"))
     e = materialise(e.repartition(partitions(spark)).mapInPandas(_local_forest, "a long, b long").where("a <> b"))
-    if e.count() <= most:
-        star = e.coalesce(1).mapInPandas(_local_forest, "a long, b long")
-        return star.select(F.col("a").alias("v"), F.col("b").alias("component"))
     sign = None
     while True:
         both = e.select("a", "b").union(e.select("b", "a"))
@@ -116,7 +114,7 @@ def components(edges: DataFrame, most: int = 200_000) -> DataFrame:
         e = down.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("x")).select("x.*").where("a <> b").distinct()
         e = materialise(e)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == sign:
+        if now == sign or not now[0]:
             break
         sign = now
     top = e.groupBy("a").agg(F.min("b").alias("component"))
@@ -124,6 +122,13 @@ def components(edges: DataFrame, most: int = 200_000) -> DataFrame:
     return every.join(top.withColumnRenamed("a", "v"), "v", "left").select("v", F.coalesce("component", "v").alias("component"))
 
 
+def drawn(df: DataFrame, seed: str, most: int) -> DataFrame:
+    """About `most` distinct rows, chosen by a hash of all their values: one key of many rows is thinned like any other, and exact
+    repeats, which a hash can't tell apart, are one row."""
+    h = F.pmod(F.xxhash64(*df.columns, F.lit(seed)), F.lit(1 << 30))
+    return df.where(h < int((1 << 30) * min(1.0, most / max(df.count(), 1)))).dropDuplicates()
+
+
 def crc_mod(doc_id: str, n: int):
     """crc32 of the id as text, modulo n; null for a null id."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % n

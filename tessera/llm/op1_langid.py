@@ -28,6 +28,7 @@ class LangIdParams:
     bits: int = 15  # hashed n-gram space
     orders: tuple = (1, 2, 3)
     max_train_rows: int = 1600  # bound on the labelled sample that the model is fitted on, shared evenly by the languages
+    least_rows: int = 8  # of a language, however many there are
     calibration: int = 5  # every fifth sampled row sets the temperature
     epochs: int = 3
     alpha: float = 2.0
@@ -141,8 +142,7 @@ def fit(labelled: DataFrame, p: LangIdParams = LangIdParams()) -> LangIdModel:
     labelled = labelled.where("lang is not null and text is not null")
     dims = 1 << p.bits
     df = labelled.select("text").mapInPandas(_frequencies(p), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    found = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(512).collect()
-    sizes = {r["lang"]: r["count"] for r in found}
+    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # a row for each language
     idf = np.ones(dims)
     total = int(df.loc[df["bucket"] < 0, "n"].sum())
     seen = np.zeros(dims)
@@ -152,14 +152,14 @@ def fit(labelled: DataFrame, p: LangIdParams = LangIdParams()) -> LangIdModel:
     langs = sorted(sizes)
     if not langs or not total:
         return LangIdModel(p, [], idf, np.zeros((dims, 0)), np.zeros(0))
-    share = p.max_train_rows / len(langs)
-    draw = F.pmod(F.xxhash64(F.col("key"), F.lit("op1")), F.lit(1 << 30)) / float(1 << 30)
-    want = F.lit(0.0)
-    for lang in langs:
-        want = F.when(F.col("lang") == lang, F.lit(min(1.0, share / sizes[lang]))).otherwise(want)
-    sample = labelled.where(draw < want).select("lang", "text", F.pmod(F.xxhash64(F.col("key"), F.lit("fold")), F.lit(p.calibration)).alias("k"))
+    share = max(p.max_train_rows / len(langs), p.least_rows)
+    # the hash covers the text, so that a key of many rows is thinned like any other; exact repeats are one row
+    draw = F.pmod(F.xxhash64("key", "text", F.lit("op1")), F.lit(1 << 30)) / float(1 << 30)
+    want = F.element_at(F.create_map(*[F.lit(x) for lang in langs for x in (lang, min(1.0, share / sizes[lang]))]), F.col("lang"))
+    sample = labelled.where(draw < want).select("lang", "text", F.pmod(F.xxhash64("key", "text", F.lit("fold")), F.lit(p.calibration)).alias("k")).dropDuplicates()
     got = map_rows(sample, _features(p), "lang string, k long, at array<int>, tf array<float>").toPandas()
-    got = got.sort_values(["lang", "k"], kind="stable", key=lambda s: s.astype(str)).reset_index(drop=True)
+    got["order"] = [hash((tuple(a), tuple(t))) for a, t in zip(got["at"], got["tf"])]  # hashes of numbers: the same in every process
+    got = got.sort_values(["lang", "k", "order"], kind="stable").reset_index(drop=True)
     rows, y = [], []
     for lang, at, tf in zip(got["lang"], got["at"], got["tf"]):
         at = np.asarray(at, dtype=np.int64)

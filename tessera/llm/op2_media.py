@@ -4,19 +4,22 @@ Aho-Corasick finds the magic bytes of all known formats in one pass; validators
 hit at offset 0 corrects the declared type, the others are embedded media that can be carved out.
 
 Defined results: null text counts as empty; the payload is padded with bytes 0 to a positive multiple of 64, so empty text stores 64 zeros.
-Equal texts give equal values; repeated rows each get a row; other columns are neither read nor returned.
+An empty table gives an empty result. Equal texts give equal values; repeated rows each get a row; other columns are neither read nor returned.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
+from bisect import bisect_left
 from dataclasses import dataclass
 
 import ahocorasick
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import map_rows, table
 
@@ -74,7 +77,7 @@ def _riff(b: bytes, at: int) -> tuple[str, int]:
     return kind, size
 
 
-def _jpeg(b: bytes, at: int) -> int:
+def _jpeg(b: bytes, at: int, places: Places) -> int:
     i = at + 2
     while i + 4 <= len(b) and b[i] == 0xFF:
         kind, n = b[i + 1], int.from_bytes(b[i + 2 : i + 4], "big")
@@ -82,7 +85,7 @@ def _jpeg(b: bytes, at: int) -> int:
             return 0
         i += 2 + n
         if kind == 0xDA:
-            end = b.find(b"\xff\xd9", i)
+            end = places.next(b"\xff\xd9", i)
             return end + 2 - at if end >= 0 else 0
     return 0
 
@@ -118,8 +121,40 @@ def _bmp(b: bytes, at: int) -> int:
     return size if good and at + size <= len(b) else 0
 
 
+def _crc(data: bytes, bits: int, poly: int) -> int:
+    top, mask, value = 1 << (bits - 1), (1 << bits) - 1, 0
+    for byte in data:
+        value ^= byte << (bits - 8)
+        for _ in range(8):
+            value = (value << 1 ^ (poly if value & top else 0)) & mask
+    return value
+
+
 def _flac(b: bytes, at: int) -> int:
-    return len(b) - at if at + 42 <= len(b) and b[at + 4] & 0x7F == 0 and b[at + 5 : at + 8] == b"\0\0\x22" else 0
+    """Up to the end of the last frame whose header and footer sums are right; the stream has no length of its own."""
+    i, first, last = at + 4, True, False
+    while not last:
+        if i + 4 > len(b):
+            return 0
+        last, kind, n = b[i] >> 7, b[i] & 0x7F, int.from_bytes(b[i + 1 : i + 4], "big")
+        if first != (kind == 0) or (first and n != 34) or kind == 127 or i + 4 + n > len(b):
+            return 0
+        i, first = i + 4 + n, False
+    starts, known = [], i
+    for m in re.compile(rb"\xff[\xf8\xf9]").finditer(b, i):
+        j = m.start()
+        if not starts and j != i:
+            return 0
+        more = {0x06: 1, 0x07: 2}.get(b[j + 2] >> 4, 0) + {0x0C: 1, 0x0D: 2, 0x0E: 2}.get(b[j + 2] & 15, 0) if j + 6 <= len(b) else 0
+        coded = b[j + 4] if j + 6 <= len(b) else 0
+        size = 5 + (0 if coded < 0x80 else max(0, 7 - (coded ^ 0xFF).bit_length() - 1)) + more
+        if j + size < len(b) and _crc(b[j:j + size], 8, 0x07) == b[j + size]:
+            starts.append(j)
+    frame = starts[0] if starts else 0
+    for end in [*starts[1:], len(b)] if starts else []:
+        if _crc(b[frame : end - 2], 16, 0x8005) == int.from_bytes(b[end - 2 : end], "big"):
+            known, frame = end, end
+    return known - at if starts and known > starts[0] else 0
 
 
 def _ogg(b: bytes, at: int) -> int:
@@ -133,9 +168,25 @@ def _ogg(b: bytes, at: int) -> int:
     return i - at
 
 
-def _pdf(b: bytes, at: int) -> int:
-    end = b.find(b"%%EOF", at)
-    return end + 5 - at if end >= 0 and b[at + 5 : at + 6].isdigit() and b.find(b"startxref", at, end) >= 0 else 0
+class Places:
+    """Where a pattern lies in a blob, found once: the first place from an offset on, without a search for each hit."""
+
+    def __init__(self, blob: bytes):
+        self.blob, self.known = blob, {}
+
+    def next(self, pattern: bytes, at: int) -> int:
+        if pattern not in self.known:
+            self.known[pattern] = [m.start() for m in re.finditer(re.escape(pattern), self.blob)]
+        found = self.known[pattern]
+        i = bisect_left(found, at)
+        return found[i] if i < len(found) else -1
+
+
+def _pdf(b: bytes, at: int, places: Places) -> int:
+    if not b[at + 5 : at + 6].isdigit():
+        return 0
+    end, xref = places.next(b"%%EOF", at), places.next(b"startxref", at)
+    return end + 5 - at if 0 <= xref < end else 0
 
 
 def _mp4(b: bytes, at: int) -> int:
@@ -160,19 +211,22 @@ def automaton() -> ahocorasick.Automaton:
 
 
 def sniff(blob: bytes, machine: ahocorasick.Automaton) -> list[Hit]:
-    """All confirmed media in blob, by start; each with its validated length."""
-    hits = []
+    """All confirmed media in blob, by start; each with its validated length. Pages, boxes and the like inside a confirmed medium of
+    their own kind are parts of it."""
+    hits, places, upto = [], Places(blob), {}
     for end, (n, back, kind) in machine.iter(blob.decode("latin-1")):
         at = end + 1 - n - back
-        if at < 0:
+        if at < upto.get(kind, 0):
             continue
-        length = 0
         if kind == "riff":
-            kind, length = _riff(blob, at)
+            found, length = _riff(blob, at)
         else:
-            length = VALIDATORS[kind](blob, at)
+            found, check = kind, VALIDATORS[kind]
+            length = check(blob, at, places) if check in (_pdf, _jpeg) else check(blob, at)
         if length:
-            hits.append(Hit(kind, at, length))
+            hits.append(Hit(found, at, length))
+            if kind != "riff":
+                upto[kind] = at + length
     return sorted(hits, key=lambda h: (h.start, h.kind))
 
 
@@ -207,23 +261,16 @@ def payload_of(text: str | None) -> tuple[int, bytes]:
     return len(raw), raw + b"\0" * (64 - len(raw) if not raw else -len(raw) % 64)
 
 
-#: Types a careless upstream might declare; which one follows from the payload.
-DECLARED = ("audio/wav", "image/png", "audio/flac", None)
-
-
-def _media():
+def _digest():
     machine = automaton()
 
     def rows_of(cols):
-        for doc_id, text in zip(cols["doc_id"], cols["text"]):
-            n, payload = payload_of(text)
-            blob = to_wav(payload)
-            declared = DECLARED[zlib.crc32(payload) % len(DECLARED)]
+        for doc_id, n, blob, declared in zip(cols["doc_id"], cols["n_bytes"], cols["media"], cols["declared"]):
             hits = sniff(blob, machine)
             back = from_wav(blob)
             x = np.frombuffer(back, dtype=np.uint8)
             crossings = int(np.count_nonzero((x[1:] >= 128) != (x[:-1] >= 128)))
-            inner = "+".join(f"{h.kind}:{h.start}:{h.length}" for h in hits if h.start)
+            inner = "+".join(f"{h.kind}:{h.start}:{h.length}:{zlib.crc32(content):08x}" for h, (_, content) in zip([h for h in hits if h.start], carve(blob, hits)))
             feature = f"type={correct_type(declared, hits)};declared={declared};embedded={inner or '-'};rate={RATE};samples={len(x)};mean={x.mean():.4f};std={x.std():.4f};crossings={crossings}"
             yield doc_id, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(blob), hashlib.sha256(blob).hexdigest(), feature
 
@@ -231,14 +278,23 @@ def _media():
 
 
 def media_digest(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) to one row of digests and features each; no shuffle."""
+    """(doc_id, text) to one row of digests and features each: texts are stored, then the stored column, declared as text, is read; no shuffle."""
     ddl = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return map_rows(docs.select("doc_id", "text"), _media, ddl)
+    return map_rows(store(docs).withColumn("declared", F.lit("text/plain")), _digest, ddl)
+
+
+def _store():
+    def rows_of(cols):
+        for doc_id, text in zip(cols["doc_id"], cols["text"]):
+            n, payload = payload_of(text)
+            yield doc_id, n, to_wav(payload)
+
+    return rows_of
 
 
 def store(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) to (doc_id, media): the stored form itself, a binary column."""
-    return map_rows(docs.select("doc_id", "text"), lambda: lambda cols: ((i, to_wav(payload_of(t)[1])) for i, t in zip(cols["doc_id"], cols["text"])), "doc_id long, media binary")
+    """(doc_id, text) to (doc_id, n_bytes, media): the stored form itself, a binary column, and the length of the text in it."""
+    return map_rows(docs.select("doc_id", "text"), _store, "doc_id long, n_bytes long, media binary")
 
 
 def _inspect():

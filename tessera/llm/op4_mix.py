@@ -37,16 +37,24 @@ def _hash32(text):
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long")
 
 
-def keyed(docs: DataFrame, p: MixParams) -> DataFrame:
-    """Adds __domain, __lang, __source, __tokens, __id."""
-    source = F.coalesce("source", F.lit("(none)"))
+def tag_for(docs: DataFrame) -> str:
+    """A prefix that no column of docs has: `__`, with as many more as it takes."""
+    tag = "__"
+    while any(c.startswith(tag) for c in docs.columns):
+        tag += "_"
+    return tag
+
+
+def keyed(docs: DataFrame, p: MixParams, tag: str) -> DataFrame:
+    """Adds the columns domain, lang, source, tokens, id, each behind the tag."""
+    source = F.coalesce(docs["source"], F.lit("(none)"))
     return docs.withColumns(
         {
-            "__domain": F.concat(F.lit("d"), (_hash32(source) % p.domains).cast("string")),
-            "__lang": F.coalesce("lang", F.lit("(none)")),
-            "__source": source,
-            "__tokens": F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long"),
-            "__id": F.coalesce("doc_id", F.lit(-1)),
+            f"{tag}domain": F.concat(F.lit("d"), (_hash32(source) % p.domains).cast("string")),
+            f"{tag}lang": F.coalesce(docs["lang"], F.lit("(none)")),
+            f"{tag}source": source,
+            f"{tag}tokens": F.coalesce(F.regexp_count(docs["text"], F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long"),
+            f"{tag}id": F.coalesce(docs["doc_id"], F.lit(-1)),
         }
     )
 
@@ -87,9 +95,9 @@ def budgets(leaves: DataFrame, p: MixParams) -> DataFrame:
     return leaves.join(node.drop("__root"), path[1:])
 
 
-def _order(p: MixParams, epoch):
+def _order(p: MixParams, epoch, key: str = "__id"):
     """A document's 32-bit place in an epoch."""
-    return _hash32(F.concat_ws(":", F.lit(str(p.seed)), epoch.cast("string"), F.col("__id").cast("string")))
+    return _hash32(F.concat_ws(":", F.lit(str(p.seed)), epoch.cast("string"), F.col(key).cast("string")))
 
 
 def plan(docs: DataFrame, p: MixParams) -> DataFrame:
@@ -118,18 +126,29 @@ def plan(docs: DataFrame, p: MixParams) -> DataFrame:
     return b.join(last, path, "left").select(*path, "docs", "tokens", "budget", "whole", F.col("k.h").alias("last_h"), F.col("k.__id").alias("last_id"))
 
 
+def pick(docs: DataFrame, leaf: DataFrame, p: MixParams, tag: str) -> DataFrame:
+    """docs with keyed()'s columns to a row for each epoch in which a document is taken (column epoch behind the tag). leaf: of plan()."""
+    path = [f"{tag}{x}" for x in LEVELS]
+    limits = leaf.select(*[F.col(f"__{x}").alias(f"{tag}{x}") for x in LEVELS], *[F.col(x).alias(f"{tag}{x}") for x in ("whole", "last_h", "last_id")])
+    whole, last_h, last_id = (F.col(f"{tag}{x}") for x in ("whole", "last_h", "last_id"))
+    out = join_checked(docs, limits, path)
+    h = _order(p, whole, f"{tag}id")
+    partial = F.coalesce((h < last_h) | ((h == last_h) & (F.col(f"{tag}id") <= last_id)), F.lit(False))
+    out = out.withColumn(f"{tag}epochs", whole.cast("int") + partial.cast("int")).where(F.col(f"{tag}epochs") > 0)
+    out = out.withColumn(f"{tag}epoch", F.explode(F.sequence(F.lit(0), F.col(f"{tag}epochs") - 1)))
+    return out.drop(*[f"{tag}{x}" for x in ("id", "whole", "last_h", "last_id", "epochs")])
+
+
 def select(docs: DataFrame, p: MixParams = MixParams()) -> DataFrame:
-    """All columns of docs, a row for each epoch in which a document is taken (column __epoch), with __domain and __tokens."""
-    k = materialise(keyed(docs.select("doc_id", "text", "lang", "source"), p).select("__domain", "__lang", "__source", "__tokens", "__id"))
-    leaf = materialise(plan(k, p))
-    path = [f"__{x}" for x in LEVELS]
-    out = join_checked(keyed(docs, p), leaf.drop("docs", "tokens", "budget"), path)
-    h = _order(p, F.col("whole"))
-    partial = F.coalesce((h < F.col("last_h")) | ((h == F.col("last_h")) & (F.col("__id") <= F.col("last_id"))), F.lit(False))
-    taken = F.col("whole") + partial.cast("int")
-    return out.withColumn("__taken", taken).where("__taken > 0").withColumn("__epoch", F.explode(F.sequence(F.lit(0), F.col("__taken").cast("int") - 1))).drop("__taken", "whole", "last_h", "last_id")
+    """All columns of docs, a row for each epoch in which a document is taken, with the columns domain, lang, source, tokens and epoch behind
+    `__` (or a longer tag where docs has such names)."""
+    tag = tag_for(docs)
+    k = materialise(keyed(docs.select("doc_id", "text", "lang", "source"), p, "__").select("__domain", "__lang", "__source", "__tokens", "__id"))
+    return pick(keyed(docs, p, tag), materialise(plan(k, p)), p, tag)
 
 
 def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = select(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    p, docs = MixParams(), table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    k = materialise(keyed(docs, p, "__").drop("text", "lang", "source"))  # texts are read once
+    out = pick(k, materialise(plan(k, p)), p, "__")
     return out.select("doc_id", F.col("__domain").alias("domain"), F.col("__lang").alias("lang"), F.col("__source").alias("source"), F.col("__tokens").alias("n_tokens"), F.col("__epoch").alias("epoch"))

@@ -1,13 +1,14 @@
 """Toxicity: a classifier chain over the categories of the labels table.
 
 The categories are predicted one after the other by linear models; each model also sees the probabilities of the categories before it. In
-training those are out-of-fold predictions, so that a later model does not trust an earlier one more than it deserves.
+training those are out-of-fold predictions, their features chosen without the fold too, so that a later model does not trust an earlier
+one more than it deserves.
 Features: whole words and word beginnings (4 to 6 letters) that tell the categories apart, present or not. They are found in the
 labelled sample by support and difference of rates, so the model learns insults of any language, inflected or not.
 
 Defined results: null, empty or wordless text has the probabilities of a text without features. Without labels of both kinds a category's
 probability is its rate (0 without labels) and nothing is rejected. Labels with a null id or category are not used; of several
-labels of an id the highest counts. Repeated rows each get a row; other columns are neither read nor returned.
+labels of an id the highest counts, of several texts of an id one is learned from. Empty tables give empty results. Repeated rows each get a row; other columns are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -108,24 +109,28 @@ class ToxicityModel:
         return out or [0.0] * len(self.params.categories)
 
 
-def fit_chain(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, fold: np.ndarray, kept: list[int], p: ToxicityParams) -> ToxicityModel:
-    """rows: the kept feature hashes of each text; y: categories by row."""
+def fit_chain(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, fold: np.ndarray, kept: list[list[int]], p: ToxicityParams) -> ToxicityModel:
+    """rows: the kept feature hashes of each text; y: categories by row; kept: the features chosen on all rows, then on those outside each fold.
+
+    A fold's probabilities come from a model that has seen none of its labels, in its choice of features neither."""
     if not len(rows):
         return ToxicityModel(p)
-    column = {h: i for i, h in enumerate(kept)}
-    x = np.zeros((len(rows), len(kept)), dtype=np.float32)
+    column = {h: i for i, h in enumerate(kept[0])}
+    every = {h: i for i, h in enumerate(sorted(set().union(*kept)))}
+    x = np.zeros((len(rows), len(every)), dtype=np.float32)
     for i, r in enumerate(rows):
-        x[i, [column[int(h)] for h in r]] = 1.0
+        x[i, [every[int(h)] for h in r]] = 1.0
+    mine = [np.array([every[h] for h in k], dtype=int) for k in kept]
     model = ToxicityModel(p, column)
     before = np.zeros((len(rows), 0), dtype=np.float32)
     for c in range(y.shape[1]):
-        full = np.hstack([x, before])
-        w, b = logistic(full, y[:, c], weight, p)
-        model.links.append((w[: x.shape[1]], w[x.shape[1] :], b))
+        w, b = logistic(np.hstack([x[:, mine[0]], before]), y[:, c], weight, p)
+        model.links.append((w[: len(column)], w[len(column) :], b))
         held = np.zeros(len(rows))
         for k in range(p.folds):
             out = fold == k
             if out.any() and (~out).any():
+                full = np.hstack([x[:, mine[k + 1]], before])
                 wk, bk = logistic(full[~out], y[~out, c], weight[~out], p)
                 held[out] = _sigmoid(full[out] @ wk + bk)
         before = np.hstack([before, held[:, None].astype(np.float32)])
@@ -156,34 +161,51 @@ def fit(docs: DataFrame, labels: DataFrame, p: ToxicityParams = ToxicityParams()
     sample = good.where(draw < F.when(F.col(cats[-1]) == 1, share[1]).otherwise(share[0]))
 
     def start():
-        return lambda cols: ((i, *[float(cols[c][k]) for c in cats], sorted(text_features(cols["text"][k]))) for k, i in enumerate(cols["doc_id"]))
+        return lambda cols: ((i, zlib.crc32(str(i).encode()) % p.folds, *[float(cols[c][k]) for c in cats], sorted(text_features(cols["text"][k]))) for k, i in enumerate(cols["doc_id"]))
 
     found = join_checked(docs.select("doc_id", "text"), sample, ["doc_id"])
-    ddl = "doc_id long, " + ", ".join(f"`{c}` double" for c in cats) + ", at array<long>"
+    # of several texts of an id one is learned from, whatever their number
+    found = found.groupBy("doc_id", *cats).agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    ddl = "doc_id long, fold int, " + ", ".join(f"`{c}` double" for c in cats) + ", at array<long>"
     rows = materialise(map_rows(found, start, ddl))
     kept = telling(rows, cats, p)
-    own = F.array_intersect("at", F.array(*map(F.lit, kept))) if kept else F.slice("at", 1, 0)
-    got = rows.select("doc_id", *cats, own.alias("at")).toPandas().sort_values("doc_id", kind="stable")
+    every = sorted(set().union(*kept))
+    own = F.array_intersect("at", F.array(*map(F.lit, every))) if every else F.slice("at", 1, 0)
+    got = rows.select("doc_id", "fold", *cats, own.alias("at")).toPandas().sort_values("doc_id", kind="stable")
     y = got[cats].to_numpy(dtype=float).reshape(len(got), len(cats))
     weight = np.where(y[:, -1] == 1, 1 / share[1], 1 / share[0]) if len(got) else np.zeros(0)
-    fold = np.array([zlib.crc32(str(i).encode()) % p.folds for i in got["doc_id"]], dtype=int)
-    return fit_chain([np.asarray(a, dtype=np.int64) for a in got["at"]], y, weight, fold, kept, p)
-
-
-def telling(rows: DataFrame, cats: list[str], p: ToxicityParams) -> list[int]:
-    """The features of at least three rows whose rates differ most, and beyond chance, between a category's rows and the others; only these
-    reach the driver."""
-    n = rows.agg(F.count("*"), *[F.sum(c) for c in cats]).first()
-    seen = materialise(rows.select(*cats, F.explode("at").alias("h")).groupBy("h").agg(F.count("*").alias("s"), *[F.sum(c).alias(c) for c in cats]).where("s >= 3"))
-    out: set[int] = set()
-    for c, n1 in zip(cats, n[1:]):
-        n1 = n1 or 0.0
-        score = F.abs(F.col(c) / max(n1, 1.0) - (F.col("s") - F.col(c)) / max(n[0] - n1, 1.0))
-        rate = F.col("s") / max(n[0], 1)
-        error = F.sqrt(rate * (1 - rate) * (1 / max(n1, 1.0) + 1 / max(n[0] - n1, 1.0)))
-        best = seen.select("h", score.alias("d"), error.alias("e")).where(F.expr(f"d > 0 and d >= {p.floor} * e")).orderBy(F.desc("d"), "h").limit(p.features // len(cats))
-        out.update(r["h"] for r in best.collect())
-    return sorted(out)
+    return fit_chain([np.asarray(a, dtype=np.int64) for a in got["at"]], y, weight, got["fold"].to_numpy(), kept, p)
+
+
+def telling(rows: DataFrame, cats: list[str], p: ToxicityParams) -> list[list[int]]:
+    """The features of at least three rows whose rates differ most, and beyond chance, between a category's rows and the others: by all rows,
+    then by the rows outside each fold. Only these reach the driver."""
+    folds = range(p.folds)
+    inside = [F.col("fold") == k for k in folds]
+    sums = [F.count("*").alias("s"), *[F.sum(c).alias(c) for c in cats]]
+    sums += [x for k in folds for x in (F.count_if(inside[k]).alias(f"s_{k}"), *[F.sum(F.when(inside[k], F.col(c)).otherwise(0.0)).alias(f"{c}_{k}") for c in cats])]
+    n = rows.agg(*sums).first().asDict()
+    seen = materialise(rows.select("fold", *cats, F.explode("at").alias("h")).groupBy("h").agg(*sums).where("s >= 3"))
+    chosen = []
+    for k in [None, *folds]:
+
+        def number(name):
+            return (n[name] or 0) - (0 if k is None else n[f"{name}_{k}"] or 0)
+
+        def column(name):
+            return F.col(name) - (F.lit(0) if k is None else F.col(f"{name}_{k}"))
+
+        out: set[int] = set()
+        every = number("s")
+        for c in cats:
+            n1, s = number(c), column("s")
+            rate = s / max(every, 1)
+            d = F.abs(column(c) / max(n1, 1.0) - (s - column(c)) / max(every - n1, 1.0))
+            error = F.sqrt(rate * (1 - rate) * (1 / max(n1, 1.0) + 1 / max(every - n1, 1.0)))
+            best = seen.where(s >= 3).select("h", d.alias("d"), error.alias("e")).where(F.expr(f"d > 0 and d >= {p.floor} * e")).orderBy(F.desc("d"), "h").limit(p.features // len(cats))
+            out.update(r["h"] for r in best.collect())
+        chosen.append(sorted(out))
+    return chosen
 
 
 def categories(labels: DataFrame) -> DataFrame:

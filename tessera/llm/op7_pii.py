@@ -2,18 +2,25 @@
 
 Base spans (email, ip, card, phone) follow fixed rules and always stay. High-recall generators propose further, overlapping spans; gradient
 boosted trees score each candidate by its format and context; a threshold for each kind, calibrated on held-out documents, selects.
-There are no labelled spans: candidates that coincide with a base span of their kind are positive examples, the others unlabelled, at a
-low weight.
+
+There are no labelled spans, so training plants them. In a bounded sample of documents, seeded personal data that the base rules miss
+(masked addresses, IPv6 and defanged hosts, cards in other groupings, national and 00- phone numbers), with and without words that
+announce it, and seeded look-alikes (dates, versions, order numbers, sums, clock times) are put between words. Positive are the planted spans
+and the base spans; negative are look-alikes, wrongly bounded candidates, and the text's own candidates unless a word before them announces
+the kind: those may be personal data that the base rules miss, and are left out.
 
 Defined results: null text counts as empty. Spans are in code points, end exclusive; ordered by start, then kind as listed, then end.
-Accepted candidates never touch a base span or each other (the higher score, then the earlier start wins). Without examples only base spans
-are found. Repeated rows each get a row; other columns are neither read nor returned. Every search is linear in the text.
+Accepted candidates never touch a base span or each other (the higher score, then the earlier start wins). An empty table gives an empty
+result, and without texts to train on only base spans are found. Repeated rows each get a row; other columns are neither read nor returned
+(redact() keeps them). Every search is linear in the text.
 """
 
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+import zlib
 from bisect import bisect_left, insort
 from dataclasses import dataclass, field
 
@@ -22,10 +29,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, table
+from .common import drawn, map_rows, table
 
 KINDS = ("email", "ip", "card", "phone")
-_ANY = re.compile(r"[0-9@]").search
+_ANY, _DIGIT = re.compile(r"[0-9@]").search, re.compile(r"[0-9]").search
+PARTIAL = -1.0  # weight of an example until the parameters give it
 _LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
@@ -67,23 +75,37 @@ def base_spans(text: str | None) -> list[tuple[str, int, int]]:
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
-#: High-recall generators by kind.
+#: Signs of an address, and what may stand around them.
+_AT = re.compile(r" ?(?:@|[\[({]at[\])}]) ?| at (?=[\w-]{1,64} dot )", re.I)
+_BEFORE_AT = re.compile(r"[\w.+%-]{1,64}\Z")
+_AFTER_AT = re.compile(r"[\w-]{1,64}(?:(?: ?[\[({]dot[\])}] ?| dot |\.)[\w-]{2,64}){1,5}", re.I)
+#: High-recall generators of the other kinds; each begins at a digit, a bracket or a group of hex digits.
 GENERATORS = [
-    ("email", re.compile(r"[^\s@<>,;()]{1,64}@[^\s@<>,;()]{1,255}")),
-    ("email", re.compile(r"\b[\w.]{1,64} ?[\[(]at[\])] ?[\w-]{1,64} ?[\[(]dot[\])] ?\w{2,24}")),
-    ("ip", re.compile(r"(?<![0-9.])[0-9]{1,4}(?:[.:][0-9]{1,4}){3,7}")),
-    ("card", re.compile(r"(?<![0-9])[0-9]{3,19}(?:[ ./-][0-9]{1,19}){0,9}")),
+    ("ip", re.compile(r"(?<![0-9.])[0-9]{1,4}(?:(?:[.:]|\[\.\]|\(\.\))[0-9]{1,4}){3,7}")),
+    ("card", re.compile(r"(?<![0-9])[0-9]{3,19}(?:(?:[ ./_-]| - |  )[0-9]{1,19}){0,9}")),
     ("phone", re.compile(r"(?<![0-9])(?:\+|00)?\(?[0-9]{1,15}\)?(?:[ ./-]{1,2}\(?[0-9]{1,15}\)?){0,8}")),
 ]
-_HINTS = [re.compile(x, re.I) for x in (r"mail|@|contact", r"\bip\b|host|addr|server", r"card|visa|credit|iban|account", r"tel|phone|call|fax|mobil")]
+_HEX = re.compile(r"(?<![\w:.])[0-9A-Fa-f]{1,4}(?::{1,2}[0-9A-Fa-f]{1,4}){2,7}(?![\w:])")
+_HINTS = [re.compile(x, re.I) for x in (r"mail|@|contact|write|reach", r"\bip\b|host|addr|server|login|from", r"card|visa|credit|iban|account|paid", r"tel|phone|call|fax|mobil|ring")]
+_MASKED = re.compile(r"[\[({](?:at|dot|\.)[\])}]| (?:at|dot) ", re.I)
+_DATE = re.compile(r"(?:1[89]|20)[0-9]{2}[ ./-][0-9]{1,2}[ ./-][0-9]{1,2}(?![0-9])|[0-9]{1,2}[ ./-][0-9]{1,2}[ ./-](?:1[89]|20)[0-9]{2}(?![0-9])")
 
 
 def candidates(text: str | None) -> list[tuple[str, int, int]]:
     """All proposed spans; they may overlap."""
-    if not text or not _ANY(text):
+    if not text:
         return []
-    out = {(kind, m.start(), m.end()) for kind, rule in GENERATORS for m in rule.finditer(text)}
-    return sorted(s for s in out if s[0] == "email" or sum(c.isdigit() for c in text[s[1] : s[2]]) >= 7)
+    out = set()
+    for m in _AT.finditer(text):
+        left, right = _BEFORE_AT.search(text[max(0, m.start() - 64) : m.start()]), _AFTER_AT.match(text, m.end())
+        if left and right:
+            out.add(("email", m.start() - len(left[0]), right.end()))
+    if _DIGIT(text):
+        for kind, rule in GENERATORS:
+            out.update((kind, m.start(), m.end()) for m in rule.finditer(text) if sum(map(str.isdigit, m[0])) >= (4 if kind == "ip" else 7))
+        if text.count(":") > 1:
+            out.update(("ip", m.start(), m.end()) for m in _HEX.finditer(text))
+    return sorted(out)
 
 
 def features(text: str, kind: str, start: int, end: int) -> list[float]:
@@ -91,23 +113,98 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
     s, left, right = text[start:end], text[max(0, start - 24) : start], text[end : end + 8]
     d = _digits(s)
     groups = re.findall(r"[0-9]+", s)
+    size = [len(g) for g in groups] or [0]
     tail = s.rsplit(".", 1)[-1] if "." in s else ""
     return [
         KINDS.index(kind), len(s), len(d), len(groups), s.count("."), s.count("-"), s.count(" "), s.count("(") + s.count(")"), float(s[:1] == "+"), float("@" in s),
-        sum(c.isalpha() for c in s) / max(len(s), 1), float(bool(d) and luhn(d)), max((min(int(g[:6]), 99999) for g in groups), default=-1), max((len(g) for g in groups), default=0), len(tail) if tail.isalpha() else 0,
+        sum(c.isalpha() for c in s) / max(len(s), 1), float(bool(d) and luhn(d)), max((min(int(g[:6]), 99999) for g in groups), default=-1), max(size), len(tail) if tail.isalpha() else 0,
         float(left[-1:].isalnum()), float(right[:1].isalnum()), float(bool(_HINTS[KINDS.index(kind)].search(left))), float(left[-1:] in "=\"'/#"),
+        min(size), size[0], size[-1], s.count(":"), float("::" in s), s.count("/"), float(s[:1] == "0") + float(s[:2] == "00"), len(_MASKED.findall(s)), float(bool(_DATE.search(s))),
+        float(s[:1] == "("), float(s.count("(") == s.count(")")), float(left[-1:] in "+(.-:,"), float(right[:1] in "%.,:-/"), len(set(size)),
     ]
 
 
+def planted(draw: random.Random, kind: str) -> str:
+    """Invented personal data of a kind, in a form that the base rules miss."""
+
+    def digits(n):
+        return "".join(draw.choice("0123456789") for _ in range(n))
+
+    def word(lo=3, hi=9):
+        return "".join(draw.choice("abcdefghijklmnoprstuvwyz") for _ in range(draw.randint(lo, hi)))
+
+    if kind == "email":
+        at, dot = draw.choice([("(at)", "(dot)"), ("[at]", "[dot]"), (" (at) ", " (dot) "), (" [at] ", " [dot] "), (" at ", " dot "), ("{at}", "{dot}"), (" @ ", "."), ("[at]", "."), (" (at) ", ".")])
+        who = word() + draw.choice(["", draw.choice("._-") + word(), digits(2)])
+        return who + at + word() + draw.choice(["", dot + word(3, 6)]) + dot + draw.choice(["com", "org", "net", "de", "fr", "es", "io", "edu"])
+    if kind == "ip":
+        if draw.random() < 0.5:
+            return draw.choice(["[.]", "(.)"]).join(str(draw.randint(0, 255)) for _ in range(4))
+        parts = [f"{draw.randint(0, 65535):x}" for _ in range(draw.choice([8, 8, 4, 5]))]
+        return ":".join(parts) if len(parts) == 8 else ":".join(parts[:2]) + "::" + ":".join(parts[2:])
+    if kind == "card":
+        d = draw.choice("3456") + digits(14)
+        d += next(c for c in "0123456789" if luhn(d + c))
+        return draw.choice([".", "/", " - ", "_", "  "]).join(d[i : i + 4] for i in range(0, 16, 4))
+    a, b, c = draw.choice("23456789") + digits(2), digits(3), digits(4)
+    return draw.choice([f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"0{a} {b}{c}", f"0{a}/{b}{c}", f"(0{a}) {b} {c}", f"00{draw.choice('1344')}{digits(1)} {a} {b} {c}", f"0{digits(1)} {digits(2)} {digits(2)} {digits(2)} {digits(2)}"])
+
+
+def look_alike(draw: random.Random) -> str:
+    """Invented text of numbers or signs that is no personal data."""
+    r = draw.randint
+    return draw.choice(
+        [
+            lambda: f"{r(1900, 2030)}-{r(1, 12):02}-{r(1, 28):02}", lambda: f"{r(1, 28)}.{r(1, 12)}.{r(1900, 2030)}", lambda: f"{r(1900, 2030)}-{r(1900, 2030)}", lambda: f"{r(1900, 2030)}-{r(1, 12):02}-{r(1, 28):02} {r(0, 23):02}:{r(0, 59):02}:{r(0, 59):02}",
+            lambda: f"{r(1, 9)}.{r(0, 30)}.{r(0, 99)}.{r(256, 9999)}", lambda: f"{r(0, 23):02}:{r(0, 59):02}:{r(0, 59):02}:{r(0, 999):03}", lambda: f"{r(10**7, 10**12)}", lambda: f"{r(1, 999)},{r(0, 999):03},{r(0, 999):03}.{r(0, 99):02}",
+            lambda: f"{r(1, 99)} {r(1, 99)} {r(1, 99)} {r(1, 99)} {r(1, 99)}", lambda: f"{r(10**5, 10**6)}/{r(10**3, 10**5)}", lambda: f"{r(1, 99)} @ {r(1, 99)}.{r(10, 99)}", lambda: f"978-{r(0, 9)}-{r(100, 999)}-{r(10000, 99999)}-{r(0, 9)}",
+            lambda: f"{r(1, 9999)} - {r(1, 9999)} - {r(1, 9999)} - {r(1, 9999)}", lambda: f"{r(0, 9)}.{r(10**7, 10**9)}", lambda: f"{r(10, 99)}:{r(10, 99)}:{r(10, 99)}", lambda: f"{r(10**3, 10**4)} {r(10**3, 10**4)} {r(10**3, 10**4)}",
+        ]
+    )()
+
+
+_SAID = {"email": ("mail", "write to", "contact:", "e-mail:"), "ip": ("host", "ip", "server", "login from"), "card": ("card", "visa", "paid with", "account"), "phone": ("call", "tel", "phone:", "fax")}
+
+
+def with_plants(text: str | None, draw: random.Random, each: int = 2) -> tuple[str, list, list]:
+    """The text with planted data and look-alikes between its words, as many of each; the spans of both."""
+    words = (text or "").split(" ")
+    gaps = sorted(draw.randrange(len(words) + 1) for _ in range(2 * each))
+    what = [True] * each + [False] * each
+    draw.shuffle(what)
+    out, size, good, bad, done = [], 0, [], [], 0
+
+    def put(s):
+        nonlocal size
+        out.append(s)
+        size += len(s) + 1
+        return size - len(s) - 1, size - 1
+
+    for gap, real in zip(gaps, what):
+        if gap > done:
+            put(" ".join(words[done:gap]))
+            done = gap
+        if real:
+            kind = draw.choice(KINDS)
+            if draw.random() < 0.6:
+                put(draw.choice(_SAID[kind]))
+            good.append((kind, *put(planted(draw, kind))))
+        else:
+            bad.append(("", *put(look_alike(draw))))
+        put(draw.choice(["and", "or", "the", "der", "la", "- see", "x,"]))  # so that plants don't run into each other or into numbers
+    put(" ".join(words[done:]))
+    return " ".join(out), good, bad
+
+
 @dataclass(frozen=True)
 class PiiParams:
     max_train_docs: int = 8000  # bound on the documents whose candidates train the trees, drawn by a hash of the id
-    trees: int = 40
-    depth: int = 3
+    trees: int = 80
+    depth: int = 4
     rate: float = 0.2
-    bins: int = 24
-    unlabelled_weight: float = 0.3
-    precision: float = 0.97  # asked of the held-out candidates at the threshold
+    bins: int = 32
+    partial_weight: float = 0.5  # of candidates that overlap a positive with other bounds
+    precision: float = 0.995  # asked of the held-out candidates of a kind at the threshold
 
 
 @dataclass
@@ -189,6 +286,7 @@ class PiiModel:
     params: PiiParams
     trees: Trees | None = None
     thresholds: dict = field(default_factory=dict)
+    report: dict = field(default_factory=dict)  # kind to (held-out planted and base spans, recall, precision)
 
     def spans(self, text: str | None) -> tuple[list, list]:
         """(base spans, all spans)."""
@@ -209,32 +307,54 @@ class PiiModel:
         return base, sorted(base + more, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
-def _examples(cols):
-    for i, text in zip(cols["key"], cols["text"]):
-        base = set(base_spans(text))
-        for c in candidates(text):
-            yield i, c[0], float(c in base), features(text, *c)
+def _examples(seed: int):
+    """Rows (group, kind, label, weight, features) of texts with plants; a text's hash is its seed and its group."""
+
+    def rows_of(cols):
+        for text in cols["text"]:
+            group = zlib.crc32((text or "").encode("utf-8", "surrogatepass"))
+            made, good, bad = with_plants(text, random.Random(group ^ seed))
+            real = {*good, *base_spans(made)}
+            near, false = merged(list(real)), merged(bad)
+            for c in candidates(made):
+                if c in real:
+                    y, w = 1.0, 1.0
+                elif touches(near, c[1], c[2]):
+                    y, w = 0.0, PARTIAL
+                elif touches(false, c[1], c[2]):
+                    y, w = 0.0, 1.0
+                elif _HINTS[KINDS.index(c[0])].search(made[max(0, c[1] - 24) : c[1]]):
+                    continue  # announced, but not planted: not known
+                else:
+                    y, w = 0.0, 1.0
+                yield group, c[0], y, w, features(made, *c)
+
+    return lambda: rows_of
 
 
 def fit(docs: DataFrame, p: PiiParams = PiiParams()) -> PiiModel:
-    """docs: (key, text)."""
-    n = docs.select("key").count()
-    sample = docs.where(F.pmod(F.xxhash64("key", F.lit("op7")), F.lit(1 << 30)) < int((1 << 30) * min(1.0, p.max_train_docs / max(n, 1))))
-    got = map_rows(sample.select("key", "text"), lambda: _examples, "key long, kind string, y double, x array<double>").toPandas()
+    """docs: a column text."""
+    sample = drawn(docs.select("text").where("text is not null and text <> ''"), "op7", p.max_train_docs)
+    got = map_rows(sample, _examples(11), "g long, kind string, y double, w double, x array<double>").toPandas()
     if not len(got) or not got["y"].any():
         return PiiModel(p)
     x, y = np.array(got["x"].tolist()), got["y"].to_numpy()
-    order = np.lexsort((*x.T, y, got["key"].fillna(-1).to_numpy()))
-    x, y, kind, key = x[order], y[order], got["kind"].to_numpy()[order], got["key"].fillna(-1).to_numpy()[order]
-    w = np.where(y > 0, 1.0, p.unlabelled_weight)
-    held = (pd.util.hash_array(key.astype("int64")) % 4 == 0) & (len(y) >= 40)
+    order = np.lexsort((*x.T, y, got["g"].to_numpy()))
+    x, y, kind, group = x[order], y[order], got["kind"].to_numpy()[order], got["g"].to_numpy()[order]
+    w = got["w"].to_numpy()[order]
+    w = np.where(w == PARTIAL, p.partial_weight, w)
+    held = group % 4 == 0
+    if held.all() or not y[held].any():
+        held[:] = False
     trees = boost(x[~held], y[~held], w[~held], p)
     model = PiiModel(p, trees)
     at = held if held.any() else np.ones(len(y), dtype=bool)
     prob = trees.score(x[at])
     for k in KINDS:
         mine = kind[at] == k
-        model.thresholds[k] = threshold(prob[mine], y[at][mine], p.precision)
+        cut = model.thresholds[k] = threshold(prob[mine], y[at][mine], p.precision)
+        hit = prob[mine] >= cut
+        model.report[k] = (int(y[at][mine].sum()), float(hit[y[at][mine] > 0].mean()) if y[at][mine].any() else 0.0, float(y[at][mine][hit].mean()) if hit.any() else 1.0)
     return model
 
 
@@ -287,4 +407,4 @@ def redact(docs: DataFrame, model: PiiModel) -> DataFrame:
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return find(docs, fit(docs.withColumnRenamed("doc_id", "key")))
+    return find(docs, fit(docs))

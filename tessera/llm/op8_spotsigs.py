@@ -9,7 +9,7 @@ that share one of a fingerprint's rarest signatures, which any pair above the th
 Defined results: null text counts as empty. A text without chains is one signature of all its words; without words its fingerprint is
 empty, and two empty fingerprints have likeness 1. Documents follow each other by id, nulls first; of rows with one id, by crc32 of the
 text, then text. The last row is followed by the first, a single row by itself. Repeated rows each get a row; other columns are
-neither read nor returned.
+neither read nor returned. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ import hashlib
 import math
 import re
 import zlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -87,28 +88,50 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
+def block_bounds(keyed: DataFrame, low: int, cuts: list[int]) -> list[tuple[int, int]]:
+    """(id, crc32) of the first documents of blocks; a crc of -1 stands for all rows of an id. An id that several cuts fall on holds more
+    than a block's share of the rows (null ids, say) and is cut further by the crc32 of its texts."""
+    times = Counter(cuts)
+    hot = {k: n + 1 for k, n in times.items() if n > 1}
+    bounds = {(k, -1) for k in {low, *cuts} if k not in hot}
+    if hot:
+        part = F.element_at(F.create_map(*[F.lit(x) for k, n in hot.items() for x in (k, n)]), F.col("k"))
+        found = keyed.where(F.col("k").isin(list(hot))).groupBy("k", F.floor(F.col("crc") * part / F.lit(1 << 32)).alias("part")).agg(F.min("crc").alias("crc"))
+        bounds |= {(r["k"], r["crc"]) for r in found.collect()}
+    return sorted(bounds)
+
+
 def in_order(docs: DataFrame, row, ddl: str, n_blocks: int | None = None) -> DataFrame:
     """Runs row(doc_id, text, next text) on every document beside its follower, with one shuffle of the texts.
 
-    Block bounds are ids of the table, so a block's first document is known in advance: it also goes to the end of the block before (the
-    very first to the end of the last), and each task reads its sorted block once, holding two documents."""
+    Block bounds are ids of the table (and checksums, where one id has many rows), so a block's first document is known in advance: it also
+    goes to the end of the block before (the very first to the end of the last), and each task reads its sorted block once, holding two
+    documents."""
     spark = docs.sparkSession
-    keyed = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(_FIRST)).alias("k"))
+    keyed = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(_FIRST)).alias("k"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("crc"))
     n = n_blocks or partitions(spark)
     low, cuts = keyed.agg(F.min("k"), F.percentile_approx("k", [i / n for i in range(1, n)] if n > 1 else [0.5], 10 * n)).first()
     schema = to_arrow_schema(T.StructType.fromDDL(ddl))
     if low is None:
         return spark.createDataFrame([], ddl)
-    bounds = np.array(sorted({low, *(cuts or [])}), dtype=np.int64)
+    bounds = block_bounds(keyed, low, cuts or [])
+    ids, sums = np.array([b[0] for b in bounds], dtype=np.int64), np.array([b[1] for b in bounds], dtype=np.int64)
+    starts = {k: i for i, (k, _) in reversed(list(enumerate(bounds)))}
 
     @F.pandas_udf("array<int>")
-    def blocks(k: pd.Series) -> pd.Series:
-        at = np.searchsorted(bounds, k.to_numpy(), side="right") - 1
-        first = bounds[at] == k.to_numpy()
-        return pd.Series([[i, -1 - (i - 1) % len(bounds)] if f else [i] for i, f in zip(at.tolist(), first)])
+    def blocks(k: pd.Series, crc: pd.Series) -> pd.Series:
+        out = []
+        for i, key, c in zip((np.searchsorted(ids, k.to_numpy(), side="right") - 1).tolist(), k.tolist(), crc.tolist()):
+            first = ids[i] == key
+            if first and sums[i] >= 0:  # an id of several blocks
+                begin = starts[key]
+                i = begin + int(np.searchsorted(sums[begin : i + 1], c, side="right")) - 1
+                first = sums[i] == c
+            out.append([i, -1 - (i - 1) % len(bounds)] if first else [i])
+        return pd.Series(out)
 
     # a block b holds its documents as b, the document that follows its last one as -1 - b
-    dealt = keyed.withColumn("b", F.explode(blocks("k"))).withColumns({"block": F.when(F.col("b") < 0, -1 - F.col("b")).otherwise(F.col("b")), "after": F.col("b") < 0, "crc": F.crc32(F.coalesce("text", F.lit("")).cast("binary"))}).drop("b")
+    dealt = keyed.withColumn("b", F.explode(blocks("k", "crc"))).withColumns({"block": F.when(F.col("b") < 0, -1 - F.col("b")).otherwise(F.col("b")), "after": F.col("b") < 0}).drop("b")
     dealt = dealt.repartitionById(len(bounds), F.col("block")).sortWithinPartitions("block", "after", "k", "crc", "text")
 
     def run(batches):

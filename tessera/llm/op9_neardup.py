@@ -99,7 +99,7 @@ def minwise(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def describe(docs: DataFrame, p: NearDupParams) -> DataFrame:
-    """docs to (doc_id, n_shingles, set_id: 16 bytes that name the set, sketch, roots: the keys of the root's children in all trees)."""
+    """docs to (doc_id, text_hash, n_shingles, set_id: 16 bytes that name the set, sketch, roots: the keys of the root's children in all trees)."""
 
     def start():
         import hashlib
@@ -109,19 +109,20 @@ def describe(docs: DataFrame, p: NearDupParams) -> DataFrame:
         names = np.arange(chosen.size, dtype=np.uint64).reshape(chosen.shape)
 
         def rows_of(cols):
-            for doc_id, text in zip(cols["doc_id"], cols["text"]):
+            for doc_id, name, text in zip(cols["doc_id"], cols["text_hash"], cols["text"]):
                 h = shingle(text)
                 if not len(h):
-                    yield doc_id, 0, None, None, None
+                    yield doc_id, name, 0, None, None, None
                     continue
                 m = minwise(h, a, b)
                 sketch = ((m * np.uint32(0x85EBCA6B)) >> np.uint32(24)).astype(np.uint8)
                 keys = _mix((m[chosen].astype(np.uint64) << np.uint64(32)) + names).astype(np.int64)
-                yield doc_id, len(h), hashlib.md5(h.tobytes()).digest(), sketch.tobytes(), keys.ravel().tolist()
+                yield doc_id, name, len(h), hashlib.md5(h.tobytes()).digest(), sketch.tobytes(), keys.ravel().tolist()
 
         return rows_of
 
-    return map_rows(docs.select("doc_id", "text"), start, "doc_id long, n_shingles long, set_id binary, sketch binary, roots array<long>")
+    ddl = "doc_id long, text_hash long, n_shingles long, set_id binary, sketch binary, roots array<long>"
+    return map_rows(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text"), start, ddl)
 
 
 def root_choice(p: NearDupParams) -> np.ndarray:
@@ -136,6 +137,17 @@ def _branch(nodes: DataFrame, p: NearDupParams) -> DataFrame:
     return nodes.withColumn("key", F.xxhash64("key", F.substring(F.col("sketch"), at + 1, F.lit(1))))
 
 
+def _counted(rows: DataFrame, total: int) -> DataFrame:
+    """rows whose key occurs more than once, with its `count`. total: how many rows there are.
+
+    Keys of more than a 10,000th of the rows, so fewer than 10,000, are broadcast: no task gets all rows of a hot key."""
+    counts = materialise(rows.groupBy("key").count().where("count > 1"))
+    most = max(1000, total // 10_000)
+    marked = rows.join(F.broadcast(counts.where(F.col("count") > most)), "key", "left")
+    other = marked.where("count is null").drop("count").join(counts.where(F.col("count") <= most).hint("merge"), "key")
+    return marked.where("count is not null").unionByName(other)
+
+
 def _by_cell(work, columns: list[str]):
     """Runs work(rows of one cell) over rows sorted by cell, across batches; work gives pairs as an array of two columns."""
     import pandas as pd
@@ -283,17 +295,15 @@ def confirm(pairs: DataFrame, docs: DataFrame, p: NearDupParams) -> DataFrame:
 
 
 def link(docs: DataFrame, p: NearDupParams = NearDupParams()) -> DataFrame:
-    """docs (doc_id, text) to (doc_id, n_shingles, component_id), a row for each row."""
+    """docs (doc_id, text) to (doc_id, n_shingles, component_id, text_hash, group: names the component, null for empty sets), a row for each row."""
     spark = docs.sparkSession
     described = materialise(describe(docs, p))
     some = described.where("set_id is not null and doc_id is not null")
     # a number for each distinct set; its smallest document stands for it
     reps = materialise(some.groupBy("set_id").agg(F.min("doc_id").alias("first"), F.min_by(F.struct("sketch", "roots"), "doc_id").alias("x")).select("set_id", "first", "x.sketch", "x.roots").withColumn("rep", F.xxhash64("set_id")))
-    rows = reps.select("rep", F.explode("roots").alias("key"))
-    shared = rows.groupBy("key").count().where("count > 1")
-    nodes = rows.join(shared, "key").join(reps.select("rep", "sketch"), "rep")
+    nodes = _counted(reps.select("rep", F.explode("roots").alias("key")), reps.count() * p.trees * p.branches)
     small, hot = [], None
-    nodes = materialise(nodes.select("key", "rep", "sketch", "count"))
+    nodes = materialise(nodes.join(reps.select("rep", "sketch"), "rep").select("key", "rep", "sketch", "count"))
     for level in range(p.levels):
         small.append(nodes.where(F.col("count") <= p.leaf).select(F.col("key").alias("cell"), "rep", "sketch"))
         big = nodes.where(F.col("count") > p.leaf).drop("count")
@@ -302,9 +312,7 @@ def link(docs: DataFrame, p: NearDupParams = NearDupParams()) -> DataFrame:
         if level == p.levels - 1:
             hot = _groups(big)
             break
-        kids = _branch(big, p)
-        counts = kids.groupBy("key").count().where("count > 1")
-        nodes = materialise(kids.join(counts, "key").select("key", "rep", "sketch", "count"))
+        nodes = materialise(_counted(_branch(big, p), big.count()).select("key", "rep", "sketch", "count"))
     cells = small[0]
     for s in small[1:]:
         cells = cells.union(s)
@@ -329,8 +337,9 @@ def link(docs: DataFrame, p: NearDupParams = NearDupParams()) -> DataFrame:
     # component by set, then by document
     named = reps.select("set_id", "rep", "first").join(comp.withColumnRenamed("v", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     smallest = named.groupBy("component").agg(F.min("first").alias("smallest"))
-    by_set = named.join(smallest, "component").select("set_id", "smallest")
-    return described.select("doc_id", "n_shingles", "set_id").join(by_set, "set_id", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("smallest", "doc_id")).alias("component_id"))
+    by_set = named.join(smallest, "component").select("set_id", "smallest", F.col("component").alias("group"))
+    out = described.select("doc_id", "text_hash", "n_shingles", "set_id").join(by_set, "set_id", "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("smallest", "doc_id")).alias("component_id"), "text_hash", "group")
 
 
 def _groups(big: DataFrame) -> DataFrame:
@@ -389,16 +398,27 @@ def _settle(contested: DataFrame, comp: DataFrame, texts: DataFrame, p: NearDupP
     return _per_cell(members.union(outs).join(texts, "rep"), _full(p), "a long, b long")
 
 
+def _kept():
+    return F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")
+
+
 def near_duplicates(docs: DataFrame, p: NearDupParams = NearDupParams()) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept)."""
-    return link(docs.select("doc_id", "text"), p).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return link(docs.select("doc_id", "text"), p).select("doc_id", "n_shingles", "component_id", _kept())
 
 
 def drop_near_duplicates(docs: DataFrame, p: NearDupParams = NearDupParams()) -> DataFrame:
-    """docs with one row for each group of near-duplicates, that of the smallest id; of several rows of that id, one. All columns as they were."""
-    kept = near_duplicates(docs, p).where("kept and doc_id is not null").select(F.col("doc_id").alias("__kept")).distinct()
-    named = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("__kept"), "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null"))
+    """docs with one row for each group of near-duplicates: of the rows of its smallest id, that whose text has the smallest hash; exact
+    repeats of that row go. Rows with a null id stay. All columns as they were, whatever their names."""
+    rows = link(docs.select("doc_id", "text"), p)
+    kept = rows.where(_kept() & F.col("doc_id").isNotNull()).groupBy("doc_id", F.coalesce("group", "text_hash").alias("group")).agg(F.min("text_hash").alias("text_hash"))
+    tag = "__near"
+    while any(c.lower().startswith(tag) for c in docs.columns):
+        tag += "_"
+    kept = kept.select(F.col("doc_id").alias(f"{tag}_id"), F.col("text_hash").alias(f"{tag}_text")).distinct()
+    named = docs.where(docs["doc_id"].isNotNull()).withColumns({f"{tag}_id": docs["doc_id"], f"{tag}_text": F.xxhash64(docs["text"])})
+    named = named.join(kept, [f"{tag}_id", f"{tag}_text"], "left_semi").dropDuplicates([f"{tag}_id", f"{tag}_text"]).select(*docs.columns)
+    return named.unionByName(docs.where(docs["doc_id"].isNull()))
 
 
 def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,6 +42,7 @@ def test_langid(spark, odd, empty):
     held = [r for r in rows if r.held_out]
     assert len(rows) == len(lang) and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
     assert np.mean([r.lang_pred == lang[r.doc_id] for r in held]) > 0.9
+    assert op1_langid.predict(empty.selectExpr("doc_id", "text", "false held_out"), op1_langid.fit(odd.selectExpr("doc_id key", "text", "lang"))).count() == 0
     none = op1_langid.fit(empty.selectExpr("doc_id key", "text", "lang"))
     got = op1_langid.predict(odd.selectExpr("doc_id", "text", "false held_out"), none).collect()
     assert len(got) == len(ODD) and {r.lang_pred for r in got} == {"und"}
@@ -55,6 +56,11 @@ def test_media_round_trip_and_carving(spark, odd):
         raw = (t or "").encode()
         pad = raw + b"\0" * (64 if not raw else -len(raw) % 64)
         assert by[i].payload_sha256 == hashlib.sha256(pad).hexdigest() and by[i].tail_crc32 == zlib.crc32(pad[-64:]) and by[i].n_bytes == len(raw)
+    assert op2_media.media_digest(odd.where("false")).count() == 0 and {r.feature.split(";")[0] for r in rows} == {"type=audio/wav"}
+    for hostile in (b"%PDF-1" * 40000, b"\xff\xd8\xff\xe0\0\x02\xff\xda\0\x02" * 20000, b"OggS\0" * 40000, b"\0\0\0\x08ftyp" * 30000):
+        began = __import__("time").time()
+        op2_media.sniff(hostile, op2_media.automaton())
+        assert __import__("time").time() - began < 2
     inner = op2_media.to_wav(b"abcd" * 16)
     blob = b"junk" + inner + b"RIFFxxxx" + b"BM"
     hits = op2_media.sniff(blob, op2_media.automaton())
@@ -72,6 +78,32 @@ def test_sharding(spark, odd, empty):
     assert op3_sharding.shards(empty.select("doc_id"), ["doc_id"]).count() == 0
 
 
+def test_sharding_by_brute_force(spark, texts):
+    """Rows in the order of (id, crc, size), each number walked through the permutation one by one."""
+    order = sorted((i, zlib.crc32(t.encode()), len(t.encode()) + 8) for i, t in texts.items())
+    n = len(order)
+
+    def place(x):
+        b = op3_sharding.half_bits(n)
+        while True:
+            left, right = x >> b, x & ((1 << b) - 1)
+            for k in op3_sharding.round_keys(op3_sharding.SEED):
+                f = (right + k) % op3_sharding._P * op3_sharding._A % op3_sharding._P
+                f = (f ^ (f >> 15)) * op3_sharding._B % op3_sharding._P
+                left, right = right, left ^ (f & ((1 << b) - 1))
+            x = (left << b) | right
+            if x < n:
+                return x
+
+    want = sorted((i, size, crc, "rows", place(k) % 24, place(k) // 24, None) for k, (i, crc, size) in enumerate(order))
+    assert sorted(map(tuple, op3_sharding.op3_sharding(spark, SF).collect())) == want
+
+
+def test_sharding_of_odd_rows(odd):
+    rows = op3_sharding.shards(odd.select("doc_id", "key", F.lit(8).alias("size")), ["doc_id", "size"]).collect()
+    assert len(rows) == len(ODD) and len({(r.shard, r.slot) for r in rows}) == len(ODD) and next(r.row_no for r in rows if r.doc_id is None) == 0
+
+
 def fill(budget, nodes):
     """Water-filling by repetition: nodes (name, cap, weight)."""
     out, left = {}, list(nodes)
@@ -149,6 +181,25 @@ def test_toxicity(spark, odd, empty):
     assert kept.count() == len(ODD) and kept.columns == odd.columns
 
 
+def test_toxicity_features_are_chosen_outside_the_fold(spark):
+    draw = np.random.default_rng(1)
+    rows = [(i, i % 3, 0.0, float(i % 4 == 0), [1] * (i % 4 == 0) + [2] * (i % 4 == 0 and i % 3 == 0) + [10 + int(x) for x in draw.integers(0, 40, 6)]) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, fold int, low_quality double, toxic double, at array<long>")
+    every, *outside = op6_toxicity.telling(df, ["low_quality", "toxic"], op6_toxicity.ToxicityParams())
+    assert {1, 2} <= set(every) and 2 not in outside[0] and 2 in outside[1] and all(1 in o for o in outside)
+
+
+def test_toxicity_chain_uses_the_earlier_category(spark):
+    draw = np.random.default_rng(2)
+    n = 600
+    kept = [[1, 2], [1, 2], [1, 2], [1, 2]]
+    low = draw.random(n) < 0.5
+    rows = [np.array([1] if x else [2]) for x in low]
+    y = np.stack([low, low & (draw.random(n) < 0.8)], axis=1).astype(float)
+    m = op6_toxicity.fit_chain(rows, y, np.ones(n), np.arange(n) % 3, kept, op6_toxicity.ToxicityParams())
+    assert len(m.links[0][1]) == 0 and len(m.links[1][1]) == 1 and m.links[1][1][0] > 0.1
+
+
 def test_toxicity_of_few_labels_leaves_clean_texts(spark):
     draw = np.random.default_rng(5)
     made = [" ".join(f"w{''.join('abcdefghij'[int(d)] for d in str(k))}" for k in draw.integers(0, 3000, 60)) + (" moron" if i % 8 == 0 else "") for i in range(1000)]
@@ -175,8 +226,50 @@ def test_base_spans(texts):
         assert op7_pii.base_spans(t) == plain(t)
 
 
+@pytest.fixture(scope="module")
+def pii(spark):
+    return op7_pii.fit(spark.read.parquet(f"{SF}/documents.parquet"))
+
+
+def test_personal_data_columns(spark, texts, odd, empty, pii):
+    rows = op7_pii.op7_pii(spark, SF).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        base = plain(texts[r.doc_id])
+        said = [f"{k}:{s}:{e}" for k, s, e in base]
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(x[0] == k for x in base) for k in op7_pii.KINDS]
+        assert r.base_sha256 == hashlib.sha256(",".join(said).encode()).hexdigest() and set(said) <= set(filter(None, r.spans.split(",")))
+        assert r.spans == op7_pii.written(pii.spans(texts[r.doc_id])[1])  # the model, too, is the same in any run
+    by = {r.doc_id: r for r in op7_pii.find(odd, pii).collect()}
+    assert by[5].n_email == 1 and by[2].spans == by[3].spans == "" and op7_pii.find(empty, pii).count() == 0
+
+
+def test_trees_accept_what_no_base_rule_finds(pii):
+    found = {"please write to jane.miller (at) example (dot) org about it": "email", "our host 2001:db8:11:a2:0:12:ff:1 answers": "ip", "login from 10[.]22[.]3[.]44 today": "ip", "paid with card 4111.1111.1111.1111 then": "card", "call (212) 555-0187 after noon": "phone"}
+    for text, kind in found.items():
+        base, every = pii.spans(text)
+        assert not base and [s[0] for s in every] == [kind], text
+    for text in ("on 2024-03-17 we met", "version 2.14.3.4711 of it", "the sum of 1,234,567.89 in 1990-2005", "at 12:31:07:220 it ended", "order 4711 0815 1234 done"):
+        assert pii.spans(text)[1] == [], text
+    assert all(n and recall > 0.8 and precision > 0.98 for n, recall, precision in pii.report.values())
+
+
+def test_accepted_spans_by_brute_force(texts, pii):
+    draw = __import__("random").Random(3)
+    for t in list(texts.values())[:60]:
+        made, _, _ = op7_pii.with_plants(t, draw)
+        base, every = pii.spans(made)
+        free = [c for c in op7_pii.candidates(made) if all(c[2] <= s or e <= c[1] for _, s, e in base)]
+        prob = pii.trees.score(np.array([op7_pii.features(made, *c) for c in free])) if free else []
+        more = []
+        for q, c in sorted(zip(prob, free), key=lambda z: (-z[0], z[1][1], z[1])):
+            if q >= pii.thresholds[c[0]] and all(c[2] <= s or e <= c[1] for _, s, e in more):
+                more.append(c)
+        assert sorted(base + more, key=lambda s: (s[1], op7_pii.KINDS.index(s[0]), s[2])) == every and base == plain(made)
+
+
 def test_redaction(spark, odd, empty):
-    assert op7_pii.fit(empty.selectExpr("doc_id key", "text")).trees is None
+    assert op7_pii.fit(empty).trees is None
     out = {r.doc_id: r for r in op7_pii.redact(odd, op7_pii.PiiModel(op7_pii.PiiParams())).collect()}
     assert out[5].text.endswith("mail [EMAIL]") and out[5].n_chars == len(out[5].text) and out[2].text is None
     assert op7_pii.redact_text("a b c", [("ip", 0, 3), ("card", 2, 5)]) == "[IP]"
@@ -190,6 +283,41 @@ def test_edited_neighbours(spark, texts, blocks):
     assert got == {i: hashlib.sha256(texts[ids[(k + 1) % len(ids)]].encode()).hexdigest() for k, i in enumerate(ids)}
 
 
+@pytest.mark.parametrize("blocks", [1, 4, 9])
+def test_neighbours_of_ids_with_many_rows(spark, blocks):
+    made = [(None, f"text {k}") for k in range(40)] + [(7, f"seven {k % 25}") for k in range(40)] + [(k, f"one {k}") for k in range(20, 30)]
+    docs = spark.createDataFrame(made, "doc_id long, text string").repartition(5)
+    order = sorted(((-(1 << 63) if i is None else i), zlib.crc32(t.encode()), t) for i, t in made)
+    want = Counter((t, order[(k + 1) % len(order)][2]) for k, (_, _, t) in enumerate(order))
+    assert Counter(map(tuple, op8_spotsigs.in_order(docs, lambda i, t, n: (t, n), "t string, n string", blocks).collect())) == want
+
+
+def test_spotsigs_columns(spark, texts):
+    ids = sorted(texts)
+    p = op8_spotsigs.SpotParams()
+
+    def plain_signatures(t):
+        ws = re.findall(r"\w+", t.lower())
+        out = set()
+        for i, w in enumerate(ws):
+            if w in p.anchors or zlib.crc32(w.encode()) % p.sampled == 0:
+                chain = [x for x in ws[i + 1 :] if x not in p.anchors][: p.chain]
+                if len(chain) == p.chain:
+                    out.add((w, *chain))
+        return out or ({("", *ws)} if ws else set())
+
+    rows = {r.doc_id: r for r in op8_spotsigs.op8_spotsigs(spark, SF).collect()}
+    assert len(rows) == len(ids)
+    for k, i in enumerate(ids):
+        t, n = texts[i], texts[ids[(k + 1) % len(ids)]]
+        new = t[: len(t) - len(t) // 4] + n[: len(t) // 4]
+        a, b, c = map(plain_signatures, (t, new, n))
+        r = rows[i]
+        assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(new.encode()).hexdigest())
+        for got, x in ((r.near_edited, b), (r.near_next, c)):
+            assert abs(got - (len(a & x) / len(a | x) if a | x else 1.0)) < 1e-9  # no two signatures share a hash here
+
+
 def test_spotsigs(spark, odd, empty):
     assert op8_spotsigs.fingerprints(odd).count() == len(ODD) and op8_spotsigs.fingerprints(empty).count() == 0
     sets = {1: {1, 2, 3, 4}, 2: {1, 2, 3, 5}, 3: {9, 8}, 4: {1, 2, 3, 4, 5, 6, 7, 8, 9}}
@@ -239,6 +367,20 @@ def test_near_duplicates_of_odd_rows(odd, empty):
     assert op9_neardup.near_duplicates(empty).count() == 0
 
 
+def test_dropping_rows_of_one_id_with_several_texts(spark):
+    a, b = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(40))
+    docs = spark.createDataFrame([(5, a, 1), (5, b, 2), (5, b, 2), (6, a, 3), (9, b + " more", 4)], "doc_id long, text string, `__near_id` int")
+    got = op9_neardup.drop_near_duplicates(docs)
+    assert got.columns == docs.columns and sorted(map(tuple, got.collect())) == [(5, a, 1), (5, b, 2)]
+
+
+def test_counts_of_hot_keys(spark):
+    rows = spark.createDataFrame([(k % 3 if k < 6000 else k // 2, k) for k in range(8001)], "key long, rep long")
+    got = {(r.key, r.rep): r["count"] for r in op9_neardup._counted(rows, 8001).collect()}
+    n = Counter(k % 3 if k < 6000 else k // 2 for k in range(8001))
+    assert got == {(key, k): n[key] for k in range(8001) if n[key := k % 3 if k < 6000 else k // 2] > 1}
+
+
 def test_language_model(spark, odd, texts):
     rows = {r.doc_id: r for r in op10_lm.op10_lm(spark, SF, op10_lm.LmParams(head=300)).collect()}
     train = Counter(w for i, t in texts.items() if zlib.crc32(str(i).encode()) % 7 != 2 for w in [*words(t), ""])
@@ -281,7 +423,7 @@ def test_frequent_words_of_equal_counts(spark):
 
 def test_language_model_is_normalised():
     p = op10_lm.LmParams(own=5, endings=3, dims=4)
-    m = op10_lm.LogBilinear(p).exact()
+    m = op10_lm.LogBilinear(p)
     ctx = np.zeros((8, 2), dtype=np.int32)
     assert abs((10 ** m.log10(ctx, np.arange(8))).sum() - 1) < 1e-9
 
@@ -302,15 +444,13 @@ def test_language_model_units_follow_the_corpus():
     g = np.full_like(m.flat, 1e-4)
     for _ in range(20):
         m.train(ctx, y, op10_lm.Noise(p, np.ones(p.units)), draw, g)
-    m = m.exact()
     every = np.repeat(ctx[1:2], p.units, axis=0)
     assert abs((10 ** m.log10(every, np.arange(p.units))).sum() - 1) < 1e-6
     right, wrong = m.log10(ctx[1::200], y[1::200]), m.log10(ctx[1::200], np.roll(y[1::200], 1))
     assert right.mean() > wrong.mean() + 0.5
 
 
-@pytest.mark.parametrize("most", [0, 200_000])
-def test_components(spark, most):
+def test_components(spark):
     from tessera.llm.common import components
 
     draw = np.random.default_rng(4)
@@ -320,6 +460,6 @@ def test_components(spark, most):
         for a, b in edges:
             if a != b:
                 low[a] = low[b] = min(low[a], low[b])
-    got = components(spark.createDataFrame(edges, "a long, b long"), most).collect()
+    got = components(spark.createDataFrame(edges, "a long, b long")).collect()
     assert {r.v: r.component for r in got} == low and len(got) == len(low)
-    assert components(spark.createDataFrame([], "a long, b long"), most).count() == 0
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
