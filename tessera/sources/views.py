@@ -30,25 +30,25 @@ _PLANE = "select vec_id::int y, t.x::int x, embedding[t.x+1]::double v from embe
 
 
 def plane_rgb(spark, sf_dir):
-    """(y, x, c0, c1, c2): three equal bands of plane_f32 as channels. The band height is one number, from a column-pruned scan."""
-    h = read(spark, sf_dir, "embeddings").agg(((F.max("vec_id") + 1) / 3).cast("int")).first()[0] or 1
-    e = read(spark, sf_dir, "embeddings").where(F.col("vec_id") < 3 * h).select((F.col("vec_id") % h).cast("int").alias("y"), F.expr(f"cast(vec_id div {h} as int)").alias("c"), "embedding")
+    """(y, x, c0, c1, c2): three equal bands of plane_f32 as channels; what the last band lacks is 0. The band height is one aggregated row."""
+    e = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    h = read(spark, sf_dir, "embeddings").agg(F.expr("cast((max(vec_id) + 3) div 3 as int)").alias("h"))
+    e = e.crossJoin(F.broadcast(h)).select(F.expr("cast(vec_id % h as int)").alias("y"), F.expr("cast(vec_id div h as int)").alias("c"), "embedding")
     rows = e.groupBy("y").agg(*[F.any_value(F.when(F.col("c") == c, F.col("embedding")), True).alias(f"e{c}") for c in range(3)])
-    return rows.select("y", F.posexplode(F.arrays_zip("e0", "e1", "e2")).alias("x", "e")).select("y", "x", *[F.col(f"e.e{c}").cast("double").alias(f"c{c}") for c in range(3)])
+    return rows.select("y", F.posexplode(F.arrays_zip("e0", "e1", "e2")).alias("x", "e")).select("y", "x", *[F.coalesce(F.col(f"e.e{c}").cast("double"), F.lit(0.0)).alias(f"c{c}") for c in range(3)])
 
 
-_RGB = f"""with p as ({_PLANE}), h as (select (max(y)+1)//3 h from p)
-select (y % h)::int y, x, max(case when y//h=0 then v end) c0, max(case when y//h=1 then v end) c1, max(case when y//h=2 then v end) c2 from p, h where y < 3*h group by 1,2"""
+_RGB = f"""with p as ({_PLANE}), h as (select (max(y)+3)//3 h from p)
+select (y % h)::int y, x, max(case when y//h=0 then v end) c0, coalesce(max(case when y//h=1 then v end), 0e0) c1, coalesce(max(case when y//h=2 then v end), 0e0) c2 from p, h group by 1,2"""
 
 
 def plane_i32(spark, sf_dir):
-    """(y, x, v): event values in hundredths, 64 to a row, full rows only."""
+    """(y, x, v): event values in hundredths, 64 to a row; the last row may be shorter."""
     e = read(spark, sf_dir, "events").select("event_id", "value")
-    full = read(spark, sf_dir, "events").count() // WIDTH
-    return e.where(F.col("event_id") < full * WIDTH).select(F.expr(f"cast(event_id div {WIDTH} as int)").alias("y"), (F.col("event_id") % WIDTH).cast("int").alias("x"), F.round(F.col("value") * 100).cast("long").alias("v"))
+    return e.select(F.expr(f"cast(event_id div {WIDTH} as int)").alias("y"), (F.col("event_id") % WIDTH).cast("int").alias("x"), F.round(F.col("value") * 100).cast("long").alias("v"))
 
 
-_INT = "select (event_id//64)::int y, (event_id%64)::int x, round(value*100)::bigint v from events where event_id < ((select count(*) from events)//64)*64"
+_INT = "select (event_id//64)::int y, (event_id%64)::int x, round(value*100)::bigint v from events"
 
 
 def pix_i32(spark, sf_dir):
