@@ -74,20 +74,28 @@ def hlg_ootf(channels, luminances, nits, to_scene=False):
     return [f"(({c})*pow(greatest({mixed}, 1e-12), {e!r}e0))" for c in channels]
 
 
+# The format's coefficients of the error function, highest power first.
+ERF = (7.77394369e-02, 2.05260015e-04, 2.32120216e-01, 2.77820801e-01)
+
+
 def erf(v):
-    """The error function by the rational formula 7.1.28 of Abramowitz and Stegun, as the coverage list asks for."""
-    return odd(lambda a: f"1e0-1e0/pow(1e0+{a}*(0.278393e0+{a}*(0.230389e0+{a}*(0.000972e0+{a}*0.078108e0))), 4)", v)
+    """The error function as 1 - 1/q^4 with the format's polynomial q."""
+    p4, p3, p2, p1 = (f"{c:.12f}e0" for c in ERF)
+    return odd(lambda a: f"1e0-1e0/pow(1e0+{a}*({p1}+{a}*({p2}+{a}*({p3}+{a}*{p4}))), 4)", v)
 
 
 def to_u8(v):
     return f"cast(floor(least(greatest(({v})*255e0, 0e0), 255e0)+0.5e0) as int)"
 
 
-def xyb_to_linear(x, y, b, nits=255.0):
-    """XYB to linear RGB."""
-    # Opsin biases and inverse matrix of the public format.
+# Inverse opsin matrix of the public format.
+OPSIN = [(11.031566901960783, -9.866943921568629, -0.16462299647058826), (-3.254147380392157, 4.418770392156863, -0.16462299647058826), (-3.6588512862745097, 2.7129230470588235, 1.9459282392156863)]
+
+
+def xyb_to_linear(x, y, b, nits=255.0, m=OPSIN):
+    """XYB to linear RGB, of the primaries that the matrix is for."""
+    # Fixed value: opsin bias of the public format.
     bias = -0.0037930732552754493
-    m = [(11.031566901960783, -9.866943921568629, -0.16462299647058826), (-3.254147380392157, 4.418770392156863, -0.16462299647058826), (-3.6588512862745097, 2.7129230470588235, 1.9459282392156863)]
     c, k = f"cbrt({bias!r}e0)", 255.0 / nits
 
     def part(v):

@@ -89,11 +89,126 @@ OPERATORS = {
 }
 
 
-def v15_idct_large(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """16x16 blocks from runs of four embeddings, through whole-block matrix products."""
-    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").withColumn("id", F.expr("vec_id div 4"))
-    tiles = e.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("vec_id", "embedding"))).alias("s")).where("size(s) = 4")
-    return idct_blocks(tiles.select("id", F.expr("flatten(transform(s, r -> r.embedding))").alias("coeff")), 16, 16).select("id", F.expr("transform(v, z -> round(z, 6))").alias("v"))
+def _embedding_tiles(spark: SparkSession, sf_dir: str, rows: int, cols: int) -> DataFrame:
+    """(id, coeff): runs of embeddings as blocks; what the last one lacks is 0."""
+    n = rows * cols // 64
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").withColumn("id", F.expr(f"vec_id div {n}"))
+    tiles = e.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("vec_id", "embedding"))).alias("s")).withColumn("c", F.expr("flatten(transform(s, r -> r.embedding))"))
+    return tiles.select("id", F.concat(F.col("c").cast("array<double>"), F.array_repeat(F.lit(0.0), F.lit(rows * cols) - F.size("c"))).alias("coeff"))
 
 
-QUERIES = {"v15_idct16_blocks": v15_idct_large}
+def _idct_query(rows: int, cols: int):
+    return lambda spark, sf_dir: idct_blocks(_embedding_tiles(spark, sf_dir, rows, cols), rows, cols).select("id", F.posexplode("v").alias("k", "v")).select("id", "k", F.round("v", 6).alias("v"))
+
+
+def _idct_sql(rows: int, cols: int) -> str:
+    """The definition, one direction after the other; blocks of at least as many rows as columns are stored transposed."""
+    n = rows * cols // 64
+    u, v = ("k // %d" % cols, "k %% %d" % cols) if rows < cols else ("k %% %d" % rows, "k // %d" % rows)
+    wave = "case when {0} = 0 then 1e0 else sqrt(2e0)*cos(({1}+0.5e0)*{0}*pi()/{2}e0) end"
+    return f"""with p as (select vec_id//{n} id, vec_id % {n} * 64 + t.x k, embedding[t.x+1]::double c from embeddings, range(0,64) t(x)), q as (select id, {u} u, {v} v, c from p), ids as (select distinct id from p),
+h as (select id, u, x.x, sum(c*{wave.format('v', 'x.x', cols)}) c from q, range(0,{cols}) x(x) group by 1, 2, 3),
+s as (select id, y.y, x, sum(c*{wave.format('u', 'y.y', rows)}) v from h, range(0,{rows}) y(y) group by 1, 2, 3)
+select ids.id, a.k::int k, round(coalesce(s.v, 0e0), 6) + 0e0 v from ids cross join range(0,{rows * cols}) a(k) left join s on s.id = ids.id and s.y*{cols}+s.x = a.k"""
+
+
+# special blocks of 8x8
+
+#: Means of four quarters from the sums and differences that are coded.
+MEANS = np.array([[1, 1, 1, 1], [1, 1, -1, -1], [1, -1, 1, -1], [1, -1, -1, 1]], dtype=float)
+
+
+def _quarters(m: np.ndarray) -> np.ndarray:
+    """Blocks to [n, quarter row, quarter column, 4, 4]: coefficients of a quarter lie two apart, their means come from the first four."""
+    q = m.reshape(-1, 4, 2, 4, 2).transpose(0, 2, 4, 1, 3).copy()
+    q[:, :, :, 0, 0] = (q[:, :, :, 0, 0].reshape(-1, 4) @ MEANS.T).reshape(-1, 2, 2)
+    return q
+
+
+def _joined(q: np.ndarray) -> np.ndarray:
+    return q.transpose(0, 1, 3, 2, 4).reshape(-1, 8, 8)
+
+
+def identity_blocks(m: np.ndarray) -> np.ndarray:
+    """Quarters of plain differences to their sample at (1, 1), which their mean gives; the coefficient there belongs to the corner."""
+    q = _quarters(m)
+    mean = q[:, :, :, 0, 0].copy()
+    q[:, :, :, 0, 0] = 0
+    centre = mean - q.sum(axis=(3, 4)) / 16
+    q[:, :, :, 0, 0] = q[:, :, :, 1, 1]
+    q[:, :, :, 1, 1] = 0
+    return _joined(q + centre[..., None, None])
+
+
+def haar_blocks(m: np.ndarray) -> np.ndarray:
+    """Sums and differences of pairs a side, from the top 2x2 to the whole block."""
+    m = m.copy()
+    for n in (1, 2, 4):
+        a, b, c, d = m[:, :n, :n], m[:, :n, n : 2 * n], m[:, n : 2 * n, :n], m[:, n : 2 * n, n : 2 * n]
+        out = np.stack([np.stack([a + b + c + d, a + b - c - d], -1), np.stack([a - b + c - d, a - b - c + d], -1)], -2)
+        m[:, : 2 * n, : 2 * n] = out.transpose(0, 1, 3, 2, 4).reshape(-1, 2 * n, 2 * n)
+    return m
+
+
+def quarter_blocks(m: np.ndarray) -> np.ndarray:
+    """Four 4x4 cosine transforms, which are stored transposed."""
+    return _joined(basis(4).T @ _quarters(m).swapaxes(3, 4) @ basis(4))
+
+
+def _halves(m: np.ndarray) -> np.ndarray:
+    """Blocks to [n, half, 4, 8]: rows two apart, the means from the first two."""
+    h = m.reshape(-1, 4, 2, 8).transpose(0, 2, 1, 3).copy()
+    a, b = h[:, 0, 0, 0].copy(), h[:, 1, 0, 0].copy()
+    h[:, 0, 0, 0], h[:, 1, 0, 0] = a + b, a - b
+    return h
+
+
+def wide_halves(m: np.ndarray) -> np.ndarray:
+    """Two 4x8 cosine transforms, one above the other."""
+    return (basis(4).T @ _halves(m) @ basis(8)).reshape(-1, 8, 8)
+
+
+def tall_halves(m: np.ndarray) -> np.ndarray:
+    """Two 8x4 cosine transforms side by side."""
+    return (basis(8).T @ _halves(m).swapaxes(2, 3) @ basis(4)).transpose(0, 2, 1, 3).reshape(-1, 8, 8)
+
+
+def plain_blocks(rows: int, cols: int):
+    return lambda m: basis(rows).T @ (m.reshape(-1, rows, cols) if rows < cols else m.reshape(-1, cols, rows).swapaxes(1, 2)) @ basis(cols)
+
+
+#: Transforms by name; the corner transforms have no entry yet.
+KINDS = {"identity": identity_blocks, "dct2x2": haar_blocks, "dct4x4": quarter_blocks, "dct4x8": wide_halves, "dct8x4": tall_halves} | {
+    f"dct{r}x{c}": plain_blocks(r, c) for r, c in ((8, 8), (16, 16), (32, 32), (16, 8), (8, 16), (32, 8), (8, 32), (32, 16), (16, 32), (64, 64), (64, 32), (32, 64), (128, 128), (128, 64), (64, 128), (256, 256), (256, 128), (128, 256))
+}
+
+
+def inverse_blocks(tiles: DataFrame) -> DataFrame:
+    """(id, kind, coeff array) to (id, kind, v array): the transform that each block names, in batches of a kind."""
+
+    @F.pandas_udf("array<double>")
+    def run(kind: pd.Series, coeff: pd.Series) -> pd.Series:
+        out = pd.Series([None] * len(kind), dtype=object)
+        for k, at in kind.groupby(kind).groups.items():
+            m = np.stack([np.asarray(coeff[i], dtype=float) for i in at])
+            done = KINDS[k](m.reshape(-1, 8, 8) if m.shape[1] == 64 else m).reshape(len(at), -1)
+            for i, v in zip(at, done):
+                out[i] = v
+        return out
+
+    return tiles.select("id", "kind", run("kind", "coeff").alias("v"))
+
+
+SMALL = ["identity", "dct2x2", "dct4x4", "dct4x8", "dct8x4", "dct8x8"]
+
+
+def v14_block_transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each embedding as an 8x8 block of the kind that its number names."""
+    kind = F.element_at(F.array(*map(F.lit, SMALL)), (F.col("vec_id") % len(SMALL) + 1).cast("int"))
+    tiles = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), kind.alias("kind"), F.col("embedding").alias("coeff"))
+    return inverse_blocks(tiles).select("id", "kind", F.posexplode("v").alias("k", "v")).select("id", "kind", "k", F.round("v", 6).alias("v"))
+
+
+_SIZES = [(16, 16), (8, 16), (16, 8), (32, 16), (32, 32), (64, 64), (64, 128)]
+QUERIES = {"v15_idct16_blocks": _idct_query(16, 16), "v14_block_transforms": v14_block_transforms} | {f"v15_idct_{r}x{c}": _idct_query(r, c) for r, c in _SIZES[1:]}
+ORACLE_SQL = {"v15_idct16_blocks": _idct_sql(16, 16)} | {f"v15_idct_{r}x{c}": _idct_sql(r, c) for r, c in _SIZES[1:]}

@@ -11,7 +11,7 @@ from tessera.streaming import sections
 _MODULES = (colour, compose, modular, stencil, vardct, container)
 OPERATORS = {k: v for m in _MODULES for k, v in m.OPERATORS.items()}
 QUERIES = {k: v.query() for k, v in OPERATORS.items()} | modular.QUERIES | vardct.QUERIES | container.QUERIES | sinks.QUERIES | sections.QUERIES | streams.QUERIES
-ORACLE_SQL = {k: v.oracle() for k, v in OPERATORS.items()} | {k: q.replace("{contents}", f"({views.VIEWS['contents'].duck})") for k, (_, q) in container.ORACLE.items()} | sections.ORACLE_SQL | streams.ORACLE_SQL
+ORACLE_SQL = {k: v.oracle() for k, v in OPERATORS.items()} | {k: q.replace("{contents}", f"({views.VIEWS['contents'].duck})") for k, (_, q) in container.ORACLE.items()} | sections.ORACLE_SQL | streams.ORACLE_SQL | modular.ORACLE_SQL | vardct.ORACLE_SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,7 +35,8 @@ def plane_rgb(spark, sf_dir):
     h = read(spark, sf_dir, "embeddings").agg(F.expr("cast((max(vec_id) + 3) div 3 as int)").alias("h"))
     e = e.crossJoin(F.broadcast(h)).select(F.expr("cast(vec_id % h as int)").alias("y"), F.expr("cast(vec_id div h as int)").alias("c"), "embedding")
     rows = e.groupBy("y").agg(*[F.any_value(F.when(F.col("c") == c, F.col("embedding")), True).alias(f"e{c}") for c in range(3)])
-    return rows.select("y", F.posexplode(F.arrays_zip("e0", "e1", "e2")).alias("x", "e")).select("y", "x", *[F.coalesce(F.col(f"e.e{c}").cast("double"), F.lit(0.0)).alias(f"c{c}") for c in range(3)])
+    rows = rows.select("y", "e0", *[F.coalesce(f"e{c}", F.transform("e0", lambda v: v * 0)).alias(f"e{c}") for c in (1, 2)])
+    return rows.select("y", F.posexplode(F.arrays_zip("e0", "e1", "e2")).alias("x", "e")).select("y", "x", *[F.col(f"e.e{c}").cast("double").alias(f"c{c}") for c in range(3)])
 
 
 _RGB = f"""with p as ({_PLANE}), h as (select (max(y)+3)//3 h from p)

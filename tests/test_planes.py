@@ -80,11 +80,73 @@ def test_upsampling_equals_numpy(spark):
     v = np.random.default_rng(1).random((6, 9))
     plane = spark.createDataFrame([(y, x, float(v[y, x])) for y in range(6) for x in range(9)], "y int, x int, v double")
     p = np.pad(v, 2, mode="symmetric")
-    k = stencil.up_kernels(stencil.UP2, 2)
-    for r in stencil.OPERATORS["p12_upsample2"].apply(spark, plane=plane).collect():
-        w = p[r.y // 2 : r.y // 2 + 5, r.x // 2 : r.x // 2 + 5]
-        want = sum(c * w[dy + 2, dx + 2] for (dx, dy), c in k[r.y % 2][r.x % 2].items())
-        assert abs(r.v - min(max(want, w.min()), w.max())) < 2e-6
+    for n, weights in ((2, stencil.UP2), (4, stencil.UP4)):
+        side = 5 * n // 2
+        rows = stencil.OPERATORS[f"p12_upsample{n}"].apply(spark, plane=plane).collect()
+        assert len(rows) == v.size * n * n
+        for r in rows:
+            w = p[r.y // n : r.y // n + 5, r.x // n : r.x // n + 5]
+            want = 0.0
+            for dy in range(5):
+                for dx in range(5):
+                    # a place in the last half is the mirror image of one in the first
+                    i, j = ((k * 5 + d) if k < n // 2 else (n - 1 - k) * 5 + 4 - d for k, d in ((r.y % n, dy), (r.x % n, dx)))
+                    i, j = min(i, j), max(i, j)
+                    want += weights[i * side - i * (i - 1) // 2 + j - i] * w[dy, dx]
+            assert abs(r.v - min(max(want, w.min()), w.max())) < 2e-6
+
+
+@pytest.mark.parametrize("name, reach, mul, near, plus", [("p7_edge_filter0", 3, 0.9, 2, True), ("p8_edge_filter1", 2, 1.0, 1, True), ("p9_edge_filter2", 1, 6.5, 1, False)])
+def test_edge_filters_equal_numpy(spark, name, reach, mul, near, plus):
+    c = np.random.default_rng(5).normal(size=(3, 20, 13)) * np.array([0.1, 1.5, 1])[:, None, None]
+    c[0, 8:16, 8:] *= 9
+    rgb = spark.createDataFrame([(y, x, *[float(c[k, y, x]) for k in range(3)]) for y in range(20) for x in range(13)], "y int, x int, c0 double, c1 double, c2 double")
+    p = np.pad(c, ((0, 0), (3, 3), (3, 3)), mode="symmetric")
+    stays = 0
+    for r in stencil.OPERATORS[name].apply(spark, rgb=rgb).collect():
+        block = c[:, r.y // 8 * 8 : r.y // 8 * 8 + 8, r.x // 8 * 8 : r.x // 8 * 8 + 8]
+        quant, sharp = 1 + int(np.floor((block[0].max() - block[0].min()) * 4)) % 8, int((block[1] > 0).sum()) % 8
+        sigma = 1 / min(0.46 / (0.125 * quant * -1.1715728752538099024) * sharp / 7, -1e-4)
+        at = lambda dy, dx: p[:, r.y + 3 + dy, r.x + 3 + dx]
+        want = c[:, r.y, r.x]
+        if sigma >= -3.90524291751269967465540850526868:
+            m = sigma * 1.65 * mul * (2 / 3 if r.x % 8 in (0, 7) or r.y % 8 in (0, 7) else 1)
+            top, total = want.copy(), 1.0
+            for dy in range(-near, near + 1):
+                for dx in range(-near, near + 1):
+                    if 0 < abs(dy) + abs(dx) <= near:
+                        about = [(0, 0), (0, 1), (1, 0), (0, -1), (-1, 0)] if plus else [(0, 0)]
+                        sad = sum((np.array([40.0, 5.0, 3.5]) * abs(at(dy + a, dx + b) - at(a, b))).sum() for a, b in about)
+                        w = max(0.0, 1 + sad * m)
+                        top, total = top + w * at(dy, dx), total + w
+            want = top / total
+        else:
+            stays += 1
+        assert np.allclose([r.c0, r.c1, r.c2], want, atol=2e-6)
+    assert 0 < stays < 260
+
+
+def test_columns_longer_than_a_block(spark):
+    v = np.random.default_rng(7).integers(0, 1000, (2 * stencil.BLOCK + 9, 3))
+    plane = spark.createDataFrame([(y, x, float(v[y, x])) for y, x in np.ndindex(v.shape)], "y int, x int, v double")
+    got = {(r.y, r.x): r.v for r in stencil.OPERATORS["p19_convolve_noise"].apply(spark, plane=plane).collect()}
+    p = np.pad(v, 2, mode="symmetric")
+    assert len(got) == v.size and all(abs(got[y, x] - (0.16 * (p[y : y + 5, x : x + 5].sum() - v[y, x]) - 3.84 * v[y, x])) < 1e-5 for y, x in got)
+    ints = spark.createDataFrame([(y, x, int(v[y, x])) for y, x in np.ndindex(v.shape)], "y int, x int, v long")
+    near = {(r.y, r.x): r for r in modular.OPERATORS["m4_neighbours"].apply(spark, ints=ints).collect()}
+    assert len(near) == v.size and all((r.t, r.tt) == (v[y - 1, x], v[y - 2, x]) for (y, x), r in near.items() if y > 1)
+    ready = {(r.y, r.x): r for r in stencil.OPERATORS["t5_group_readiness"].apply(spark, ints=ints).collect()}
+    for (y, x), r in ready.items():
+        assert r.rendered == v[max(y - 1, 0) : y + 2, max(x - 1, 0) : x + 2].max() and r.freed == v[max(y - 2, 0) : y + 3, max(x - 2, 0) : x + 3].max()
+
+
+def test_error_function(con):
+    """The format's polynomial, whose coefficients differ from the handbook's in the fourth digit."""
+    for v in (-3.0, -0.4, 0.0, 0.1, 0.7, 2.5):
+        a = abs(v)
+        q = (((a * 7.77394369e-02 + 2.05260015e-04) * a + 2.32120216e-01) * a + 2.77820801e-01) * a + 1
+        assert abs(_value(con, t.erf(f"({v}e0)")) - np.copysign(1 - 1 / q**4, v)) < 1e-9
+        assert abs(_value(con, t.erf(f"({v}e0)")) - __import__("math").erf(v)) < 6e-4
 
 
 def test_frames_meet_their_slots_whole(spark):
@@ -116,23 +178,13 @@ def test_empty_planes(spark):
     assert colour.OPERATORS["p22_xyb_linear"].apply(spark, rgb=rgb).count() == 0
 
 
-def squeeze(v):
-    out_a, out_r, before = [], [], None
-    a = [(v[i] + v[i + 1] + (v[i] > v[i + 1])) >> 1 for i in range(0, len(v) - 1, 2)] + ([v[-1]] if len(v) % 2 else [])
-    for i in range(len(v) // 2):
-        b = a[0] if i == 0 else before
-        n = a[i + 1] if i + 1 < len(a) else a[i]
-        out_r.append(v[2 * i] - v[2 * i + 1] - modular.tendency(b, a[i], n))
-        before = v[2 * i + 1]
-    out_a = a
-    return out_a, out_r
-
-
 def test_unsqueeze_inverts():
+    from tessera.bitstream.modular import squeeze_rows
+
     draw = np.random.default_rng(2)
     for n in (2, 3, 8, 31):
-        v = [int(x) for x in draw.integers(-1000, 1000, n)]
-        assert modular.unsqueeze(*squeeze(v)) == v
+        v = draw.integers(-1000, 1000, n)
+        assert modular.unsqueeze(*[x[0] for x in squeeze_rows(v[None])]) == v.tolist()
 
 
 def test_squeeze_lines_keep_their_length(spark):
@@ -157,11 +209,82 @@ def test_idct_inverts_dct(shape):
 
 
 def test_block_idct_equals_one_by_one(spark):
-    rows = [tuple(r) for r in QUERIES["v15_idct16_blocks"](spark, SF).limit(3).collect()]
+    got = {}
+    for r in QUERIES["v15_idct_8x16"](spark, SF).collect():
+        got.setdefault(r.id, {})[r.k] = r.v
     e = {r.vec_id: r.embedding for r in spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding").collect()}
-    for i, v in rows:
-        c = np.array([x for k in range(4) for x in e[4 * i + k]]).reshape(16, 16)
-        assert np.allclose(np.array(v).reshape(16, 16), vardct.idct2d(c), atol=1e-5)
+    for i, v in got.items():
+        c = np.array([x for k in range(2) for x in e.get(2 * i + k, [0.0] * 64)]).reshape(8, 16)
+        assert np.allclose(np.array([v[k] for k in range(128)]).reshape(8, 16), vardct.idct2d(c), atol=1e-5)
+
+
+def test_special_blocks_by_their_definitions(spark):
+    def idct(c):  # rows x columns, by sums
+        h, w = c.shape
+        f = lambda k, x, n: 1.0 if k == 0 else np.sqrt(2) * np.cos((x + 0.5) * k * np.pi / n)
+        return np.array([[sum(c[v, u] * f(v, y, h) * f(u, x, w) for v in range(h) for u in range(w)) for x in range(w)] for y in range(h)])
+
+    def plain(kind, c):
+        c, out = c.copy(), np.zeros((8, 8))
+        if kind == "dct8x8":
+            return idct(c.T)
+        if kind == "dct2x2":
+            for n in (1, 2, 4):
+                new = c.copy()
+                for y in range(n):
+                    for x in range(n):
+                        p, q, r, s = c[y, x], c[y, n + x], c[n + y, x], c[n + y, n + x]
+                        new[2 * y : 2 * y + 2, 2 * x : 2 * x + 2] = [[p + q + r + s, p + q - r - s], [p - q + r - s, p - q - r + s]]
+                c = new
+            return c
+        if kind in ("dct4x8", "dct8x4"):
+            for k in range(2):
+                part = c[k::2].copy()
+                part[0, 0] = c[0, 0] + (-c[1, 0] if k else c[1, 0])
+                if kind == "dct4x8":
+                    out[4 * k : 4 * k + 4] = idct(part)
+                else:
+                    out[:, 4 * k : 4 * k + 4] = idct(part.T)
+            return out
+        p, q, r, s = c[0, 0], c[0, 1], c[1, 0], c[1, 1]
+        for k, mean in enumerate((p + q + r + s, p + q - r - s, p - q + r - s, p - q - r + s)):
+            y, x = divmod(k, 2)
+            part = c[y::2, x::2].copy()
+            if kind == "dct4x4":
+                part[0, 0] = mean
+                out[4 * y : 4 * y + 4, 4 * x : 4 * x + 4] = idct(part.T)
+            else:
+                centre = mean - (part.sum() - part[0, 0]) / 16
+                part[0, 0], part[1, 1] = part[1, 1], 0
+                out[4 * y : 4 * y + 4, 4 * x : 4 * x + 4] = part + centre
+        return out
+
+    e = {r.vec_id: r.embedding for r in spark.read.parquet(f"{SF}/embeddings.parquet").where("vec_id < 24").collect()}
+    got = {}
+    for r in QUERIES["v14_block_transforms"](spark, SF).where("id < 24").collect():
+        got.setdefault((r.id, r.kind), np.zeros(64))[r.k] = r.v
+    assert {k for _, k in got} == set(vardct.SMALL) and len(got) == 24
+    for (i, kind), v in got.items():
+        assert np.allclose(v.reshape(8, 8), plain(kind, np.array(e[i]).reshape(8, 8)), atol=1e-5), kind
+    draw = np.random.default_rng(0)
+    for kind in ("dct32x8", "dct16x32", "dct64x64"):
+        r, c = map(int, kind[3:].split("x"))
+        m = draw.normal(size=(2, r * c))
+        assert np.allclose(vardct.KINDS[kind](m)[1], vardct.idct2d(m[1].reshape(r, c)))
+
+
+def test_colour_transforms_undo_themselves():
+    from tessera.bitstream.modular import do_rct, undo_rct
+
+    v = [np.random.default_rng(k).integers(-300, 300, 50) for k in range(3)]
+    for kind in range(42):
+        coded = do_rct(v, kind)
+        assert all((a == b).all() for a, b in zip(undo_rct(*coded, kind), v))
+        env = {n: x for n, x in zip("abc", coded)}
+        sql = modular.rct(kind % 7, list(modular.PERMUTATIONS)[kind // 7])
+        order = modular.PERMUTATIONS[list(modular.PERMUTATIONS)[kind // 7]]
+        assert sql.id == "M13" and all((eval(modular.RCT[kind % 7][i], env) == x).all() for i, x in zip(order, v))
+
 
 
 def test_natural_order_is_a_permutation():
