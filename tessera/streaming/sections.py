@@ -1,7 +1,8 @@
-"""Sections arriving as a stream: coefficients accumulate by pass, and a group's sections are held until their prerequisites are there."""
+"""Sections arriving as a stream: coefficients accumulate by pass. decoder.py holds sections until their prerequisites are there."""
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,12 +22,18 @@ def accumulate(sections: DataFrame) -> DataFrame:
 
 
 def drain(df: DataFrame, mode: str = "complete") -> DataFrame:
-    """Runs a stream over what is there now and returns its result table."""
+    """Runs a stream over what is there now, each batch's result written as a table by the executors; the last of a complete stream counts,
+    all of an appending one."""
     spark = df.sparkSession
-    name = f"drained_{uuid.uuid4().hex[:12]}"
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tessera-")
+    path = f"{shared}/stream-{uuid.uuid4().hex}"
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(path if mode == "complete" else f"{path}/batch={number}")
+
+    q = df.writeStream.foreachBatch(keep).option("checkpointLocation", f"{path}-state").outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
 def t4_accumulate(spark: SparkSession, sf_dir: str) -> DataFrame:
