@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import map_rows, table
 
 #: Pieces whose ids a worker remembers (twice as many at most), and how long they may be.
-CACHE, CACHE_LENGTH = 250_000, 64
+CACHE, CACHE_LENGTH = 100_000, 64
 BEFORE_SPACE = re.compile(r"\s ").search
 
 
