@@ -23,16 +23,47 @@ def ppm(image: np.ndarray) -> bytes:
     return f"{'P6' if image.ndim == 3 else 'P5'}\n{w} {h}\n255\n".encode() + to_u8(image).tobytes()
 
 
-def png(image: np.ndarray) -> bytes:
-    h, w = image.shape[:2]
-    rows = to_u8(image).reshape(h, -1)
-    raw = np.hstack([np.zeros((h, 1), np.uint8), rows]).tobytes()
+SIGNATURE = b"\x89PNG\r\n\x1a\n"
+
+
+def chunk(kind: bytes, data: bytes) -> bytes:
+    return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
 
-    def chunk(kind: bytes, data: bytes) -> bytes:
-        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
 
-    head = struct.pack(">IIBBBBB", w, h, 8, 2 if image.ndim == 3 else 0, 0, 0, 0)
-    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"sRGB", b"\0") + chunk(b"IDAT", zlib.compress(raw, 6)) + chunk(b"IEND", b"")
+def _rows(image: np.ndarray, bits: int) -> bytes:
+    """Compressed rows without a filter; 16 bits come high byte first."""
+    h = image.shape[0]
+    v = to_u8(image) if bits == 8 else (np.clip(np.nan_to_num(image) * 65535, 0, 65535) + 0.5).astype(">u2")
+    return zlib.compress(np.hstack([np.zeros((h, 1), np.uint8), v.reshape(h, -1).view(np.uint8)]).tobytes(), 6)
+
+
+def _head(image: np.ndarray, bits: int, cicp: tuple | None, icc: bytes | None) -> bytes:
+    """Signature and header; then what the colours mean: coding-independent code points, or a profile, or sRGB."""
+    h, w = image.shape[:2]
+    out = SIGNATURE + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, bits, {2: 0, 3: 2}[image.ndim] if image.ndim == 2 or image.shape[2] == 3 else 6, 0, 0, 0))
+    if cicp:
+        return out + chunk(b"cICP", bytes([*cicp, 0, 1]))
+    return out + (chunk(b"iCCP", b"profile\0\0" + zlib.compress(icc)) if icc else chunk(b"sRGB", b"\0"))
+
+
+def png(image: np.ndarray, bits: int = 8, cicp: tuple | None = None, icc: bytes | None = None) -> bytes:
+    """h x w, or h x w x 3 or 4; 8 or 16 bits. cicp: (primaries, transfer function)."""
+    return _head(image, bits, cicp, icc) + chunk(b"IDAT", _rows(image, bits)) + chunk(b"IEND", b"")
+
+
+def apng(frames: list[np.ndarray], milliseconds: list[float], bits: int = 8, loops: int = 0, cicp: tuple | None = None, icc: bytes | None = None) -> bytes:
+    """Whole frames of one size, each with its time; the first is also the still image."""
+    h, w = frames[0].shape[:2]
+    out, number = _head(frames[0], bits, cicp, icc) + chunk(b"acTL", struct.pack(">II", len(frames), loops)), 0
+    for i, (image, ms) in enumerate(zip(frames, milliseconds)):
+        out += chunk(b"fcTL", struct.pack(">IIIIIHHBB", number, w, h, 0, 0, *apng_delay(ms), 0, 0))
+        number += 1
+        if i:
+            out += chunk(b"fdAT", struct.pack(">I", number) + _rows(image, bits))
+            number += 1
+        else:
+            out += chunk(b"IDAT", _rows(image, bits))
+    return out + chunk(b"IEND", b"")
 
 
 def npy(frames: np.ndarray) -> bytes:

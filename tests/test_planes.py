@@ -348,3 +348,57 @@ def test_primaries():
     assert np.allclose(pr.adapt_to_d50((0.3127, 0.3290)) @ m @ np.ones(3), pr.D50, atol=1e-9)
     with pytest.raises(ValueError):
         pr.xyz(0.3, 0.0)
+
+
+def test_output_matrices():
+    """White stays white whatever the primaries; sRGB's own matrix is the format's."""
+    white = np.array(t.OPSIN).sum(axis=1)
+    assert np.allclose(np.array(colour.output_matrix(*colour._BT2100)).sum(axis=1), white, atol=1e-3)
+    same_ = colour.output_matrix(colour.pr.PRIMARIES["SRG"], colour.pr.WHITE_POINTS["D65"])
+    assert np.allclose(same_, t.OPSIN, atol=1e-9)
+    assert np.allclose(np.array(colour.grey_matrix())[0], np.array([0.2126, 0.7152, 0.0722]) @ np.array(t.OPSIN), atol=1e-2)
+
+
+def test_halves_equal_numpy(spark):
+    rows = QUERIES["p2_convert_half"](spark, SF).collect()
+    i = np.array([r.i for r in rows])
+    assert len(set(i)) > 500 and np.array_equal(i.astype(np.uint16).view(np.float16).astype(float), np.array([r.v for r in rows]))
+
+
+def test_inverse_matrices_equal_numpy(spark):
+    pix = {(k, 1): (k % 7, k // 7 % 5, k % 3) for k in range(105)}
+    df = spark.createDataFrame([(*key, *v) for key, v in pix.items()], "k long, l int, c0 long, c1 long, c2 long")
+    got = {(r.k, r.l): r for r in colour.OPERATORS["f9_inverse"].apply(spark, pix=df).collect()}
+    for key, (a, d, g) in pix.items():
+        m = np.array([[a, 1, 2], [d, 3, 1], [g, 1, 5]], dtype=float)
+        if abs(np.linalg.det(m)) > 1e-6:
+            assert np.allclose([got[key][f"m{i}{j}"] for i in range(3) for j in range(3)], np.linalg.inv(m).ravel(), atol=2e-6)
+
+
+def read_chunks(raw):
+    assert raw[:8] == sinks.SIGNATURE
+    at, out = 8, []
+    while at < len(raw):
+        n, kind = struct.unpack(">I4s", raw[at : at + 8])
+        data = raw[at + 8 : at + 8 + n]
+        assert zlib.crc32(kind + data) == struct.unpack(">I", raw[at + 8 + n : at + 12 + n])[0]
+        out.append((kind, data))
+        at += 12 + n
+    return out
+
+
+def test_png_of_16_bits_and_animation():
+    draw = np.random.default_rng(4)
+    image = draw.random((5, 7, 3))
+    parts = dict(read_chunks(sinks.png(image, 16, cicp=(9, 16))))
+    rows = np.frombuffer(zlib.decompress(parts[b"IDAT"]), np.uint8).reshape(5, -1)
+    assert (rows[:, 0] == 0).all() and parts[b"cICP"] == bytes([9, 16, 0, 1]) and parts[b"IHDR"][8:10] == bytes([16, 2])
+    assert np.allclose(rows[:, 1:].copy().view(">u2").reshape(5, 7, 3) / 65535, image, atol=1 / 65535)
+    assert zlib.decompress(dict(read_chunks(sinks.png(image, icc=b"profile bytes")))[b"iCCP"][9:]) == b"profile bytes"
+    frames = [draw.random((4, 3)) for _ in range(3)]
+    chunks = read_chunks(sinks.apng(frames, [100, 40, 1000]))
+    assert [k for k, _ in chunks] == [b"IHDR", b"sRGB", b"acTL", b"fcTL", b"IDAT", b"fcTL", b"fdAT", b"fcTL", b"fdAT", b"IEND"]
+    numbers = [struct.unpack(">I", d[:4])[0] for k, d in chunks if k in (b"fcTL", b"fdAT")]
+    assert numbers == list(range(5)) and [struct.unpack(">HH", d[20:24]) for k, d in chunks if k == b"fcTL"] == [(1, 10), (1, 25), (1, 1)]
+    for f, data in zip(frames, [chunks[4][1], chunks[6][1][4:], chunks[8][1][4:]]):
+        assert (np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, 4)[:, 1:] == sinks.to_u8(f)).all()
