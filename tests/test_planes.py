@@ -316,12 +316,26 @@ def test_boxes_and_parts():
     def box(kind, data):
         return struct.pack(">I", len(data) + 8) + kind + data
 
-    made = container.CONTAINER + box(b"ftyp", b"x") + box(b"jxlp", b"\x80\0\0\1cd") + box(b"jxlp", b"\0\0\0\0ab")
+    made = container.CONTAINER + box(b"ftyp", b"x") + box(b"jxlp", b"\0\0\0\0ab") + box(b"jxlp", b"\x80\0\0\1cd")
     assert [k for k, _, _ in container.boxes(made)] == ["JXL ", "ftyp", "jxlp", "jxlp"]
     assert container.codestream(made) == b"abcd"
+    for more in (box(b"jxlp", b"\0\0\0\2ef"), box(b"jxlc", b"ef")):
+        assert [e for e, *_ in container.events(made + more)][-1] == "invalid" and container.codestream(made + more) == b"abcd"
+    early = container.CONTAINER + box(b"jxlp", b"\0\0\0\1cd")
+    assert list(container.events(early))[-1][0] == "invalid" and container.codestream(early) == b""
+    assert list(container.events(None)) == [("kind", "none", 0, 0)]
     assert list(container.boxes(None)) == [] and list(container.boxes(b"\0\0\0\x05abcd")) == []
 
 
+def test_files(spark, tmp_path):
+    (tmp_path / "a.jxl").write_bytes(b"\xff\x0aabc")
+    (tmp_path / "b.jxl").write_bytes(b"")
+    (tmp_path / "c.txt").write_bytes(b"no")
+    found = container.files(spark, str(tmp_path), "*.jxl")
+    assert sorted((r.path[-5:], bytes(r.content)) for r in found.collect()) == [("a.jxl", b"\xff\x0aabc"), ("b.jxl", b"")]
+    assert sorted(r.kind for r in container.signature(found).collect()) == ["codestream", "more"]
+
+
 def test_bit_reader():
     b = container.BitReader(bytes([0b10110101, 0b1]))
     assert (b.read(3), b.read(5), b.read(1)) == (0b101, 0b10110, 1)
