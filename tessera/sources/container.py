@@ -87,7 +87,7 @@ def codestreams(content: DataFrame) -> DataFrame:
 
 
 def files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """(doc_id, path, content) of the files under a path, whole; a reader's position, skips and parts are those of bitstream.bits.Bits."""
+    """(doc_id, path, content) of the files under a path, whole (Spark passes over empty ones); a reader's position, skips and parts are those of bitstream.bits.Bits."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
     return found.select(F.xxhash64("path").alias("doc_id"), "path", "content")
 
