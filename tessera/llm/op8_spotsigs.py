@@ -191,5 +191,14 @@ def near_pairs(sigs: DataFrame, p: SpotParams = SpotParams()) -> DataFrame:
     return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "likeness")
 
 
+def near_classes(sigs: DataFrame, p: SpotParams = SpotParams()) -> tuple[DataFrame, DataFrame]:
+    """(fp_id, sigs array<long>) to the classes of equal sets, (fp_id, class: the smallest id of the set), and near_pairs() between classes:
+    copies are not expanded into pairs, however many there are. Empty sets are classes that are near nothing."""
+    s = sigs.select("fp_id", F.sort_array(F.array_distinct("sigs")).alias("sigs"))
+    one = materialise(s.groupBy(F.xxhash64("sigs").alias("h"), "sigs").agg(F.min("fp_id").alias("class")))
+    members = s.withColumn("h", F.xxhash64("sigs")).join(one, ["h", "sigs"]).select("fp_id", "class")
+    return members, near_pairs(one.select(F.col("class").alias("fp_id"), "sigs"), p)
+
+
 def op8_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))

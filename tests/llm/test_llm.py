@@ -324,6 +324,10 @@ def test_spotsigs(spark, odd, empty):
     df = spark.createDataFrame([(k, sorted(v)) for k, v in sets.items()], "fp_id long, sigs array<long>")
     want = {(a, b) for a in sets for b in sets if a < b and op8_spotsigs.likeness(sets[a], sets[b]) >= 0.5}
     assert {(r.a, r.b) for r in op8_spotsigs.near_pairs(df).collect()} == want
+    copies = spark.createDataFrame([(k, sorted(v)) for k, v in sets.items()] + [(100 + k, [5, 3, 2, 1, 1]) for k in range(50)] + [(200, []), (201, [])], "fp_id long, sigs array<long>")
+    members, pairs = op8_spotsigs.near_classes(copies)
+    assert {(r.a, r.b) for r in pairs.collect()} == want
+    assert {r.fp_id: r["class"] for r in members.collect()} == {k: k for k in sets} | {100 + k: 2 for k in range(50)} | {200: 200, 201: 200}
 
 
 def brute(docs):
