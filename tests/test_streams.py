@@ -83,46 +83,27 @@ def test_prefix_code_of_bytes_reads_reversed_octets():
     assert [code.read(b) for _ in want] == want
 
 
-def test_repeats_of_code_lengths():
-    """Lengths 1 and then 2, 2 through a run of 16 would not fit; sixteen of length 4 come as one length and a run."""
+def repeated(*extras, more=0):
+    """A code whose first length is 4, then runs of it (two extra bits each), then as many single lengths of 4."""
     s = BitSink()
     s.write(2, 0)
-    # code-length code: symbols 4 and 16 with one bit each; the order is 1 2 3 4 0 5 17 6 16
-    for at in en.LENGTH_ORDER[:9]:
+    for at in en.LENGTH_ORDER[:9]:  # the lengths 4 and 16 take a bit each
         s.write(*((4, 7) if at in (4, 16) else (2, 0)))
-    s.write(1, 0)  # a length of 4
-    for extra in (3, 0, 0):  # 16 twice with 3 + 3, then (6 - 2) * 4 + 3 + ... in all
+    s.write(1, 0)
+    for extra in extras:
         s.write(1, 1)
         s.write(2, extra)
-        break
-    b = Bits(s.bytes())
-    with pytest.raises((StreamError, EOFError, IndexError)):
-        en.PrefixCode.read_from(b, 7)
-        b.check()
-    s = BitSink()
-    s.write(2, 0)
-    for at in en.LENGTH_ORDER[:9]:
-        s.write(*((4, 7) if at in (4, 16) else (2, 0)))
-    s.write(1, 0)
-    s.write(1, 1)
-    s.write(2, 0)  # three more
-    s.write(1, 1)
-    s.write(2, 0)  # (3 - 2) * 4 + 3 = 7 in all
-    s.write(1, 1)
-    s.write(2, 0)  # (7 - 2) * 4 + 3 = 23 would pass sixteen
-    with pytest.raises(StreamError):
-        en.PrefixCode.read_from(Bits(s.bytes()), 16)
-    s = BitSink()
-    s.write(2, 0)
-    for at in en.LENGTH_ORDER[:9]:
-        s.write(*((4, 7) if at in (4, 16) else (2, 0)))
-    s.write(1, 0)
-    s.write(1, 1)
-    s.write(2, 1)  # four
-    s.write(1, 1)
-    s.write(2, 3)  # (4 - 2) * 4 + 3 + 3 = 14
-    s.write(1, 0)  # and one more: sixteen
-    assert {n for n, _ in en.PrefixCode.read_from(Bits(s.bytes()), 16).codes.values()} == {4}
+    s.write(more, 0)
+    return Bits(s.bytes())
+
+
+def test_repeats_of_code_lengths():
+    # a run of four, made (4 - 2) * 4 + 3 + 3 = 14 by the next, and a length: sixteen of length 4
+    assert {n for n, _ in en.PrefixCode.read_from(repeated(1, 3, more=1), 16).codes.values()} == {4}
+    with pytest.raises(StreamError):  # 3, 7, then 23 would pass sixteen
+        en.PrefixCode.read_from(repeated(0, 0, 0), 16)
+    with pytest.raises(StreamError):  # seven of length 4 leave room
+        en.PrefixCode.read_from(repeated(3), 7)
 
 
 @pytest.mark.parametrize("seed", range(6))
