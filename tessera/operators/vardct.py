@@ -177,12 +177,95 @@ def plain_blocks(rows: int, cols: int):
     return lambda m: basis(rows).T @ (m.reshape(-1, rows, cols) if rows < cols else m.reshape(-1, cols, rows).swapaxes(1, 2)) @ basis(cols)
 
 
-#: Transforms by name; the corner transforms have no entry yet.
-KINDS = {"identity": identity_blocks, "dct2x2": haar_blocks, "dct4x4": quarter_blocks, "dct4x8": wide_halves, "dct8x4": tall_halves} | {
+# The share of the corner sample in the corner transform's first wave, and the waves of the format whose first sample that is not 0 is negative.
+CORNER_SHARE, FALLING = 0.876902929799142, (3, 4, 5, 6, 7, 11, 12, 13, 14)
+
+
+def corner_waves() -> tuple[np.ndarray, np.ndarray]:
+    """Waves [coefficient, y * 4 + x] of the corner transform, and their frequencies [y, x].
+
+    They are the eigenvectors of the Laplacian (twice the links) of a 4x4 grid whose three samples at the corner are cut off, by rising
+    eigenvalue along the diagonals, even ones by y, odd ones by x. The constant, and what tells the cut samples from each other and from
+    the rest, have no frequency: those four waves are at the first four places."""
+    at = [(y, x) for y in range(4) for x in range(4)]
+    links = np.array([[2.0 * (abs(a[0] - b[0]) + abs(a[1] - b[1]) == 1 and min(sum(a), sum(b)) > 1) for b in at] for a in at])
+    values, vectors = np.linalg.eigh(np.diag(links.sum(1)) - links)
+    waves, frequency = np.zeros((16, 16)), np.zeros((4, 4))
+    places = [4 * y + x for y, x in sorted(at, key=lambda p: (sum(p), p[sum(p) % 2])) if max(y, x) > 1]
+    waves[places], frequency[np.divmod(places, 4)] = vectors.T[4:], values[4:]
+    single = np.zeros(16)
+    single[0] = 1
+    pair = np.where([y + x == 1 for y, x in at], 1.0, 0) - 2 / 15 * (1 - single)
+    single, pair = (single - 1 / 16) / math.sqrt(15 / 16), pair / np.linalg.norm(pair)
+    near = CORNER_SHARE / math.sqrt(15 / 16)
+    far = math.sqrt(1 - near * near)
+    waves[0], waves[1], waves[5] = 0.25, near * single + far * pair, near * pair - far * single
+    waves[4, [1, 4]] = math.sqrt(0.5), -math.sqrt(0.5)
+    for k, w in enumerate(waves):
+        first = w[np.flatnonzero(abs(w) > 1e-9)[0]]
+        w *= -1 if (first < 0) != (k in FALLING) else 1
+    return waves, frequency
+
+
+CORNER, CORNER_FREQUENCY = corner_waves()
+
+
+def corner_blocks(kind: int):
+    """A 4x4 corner by its own waves, a 4x4 cosine transform beside it and a 4x8 one along the other half. kind: 1 for right, 2 for bottom."""
+    right, down = kind % 2, kind // 2
+
+    def run(m: np.ndarray) -> np.ndarray:
+        a, b, c = m[:, 0, 0], m[:, 0, 1], m[:, 1, 0]
+        corner, beside, along = m[:, ::2, ::2].copy(), m[:, ::2, 1::2].copy(), m[:, 1::2].copy()
+        corner[:, 0, 0], beside[:, 0, 0], along[:, 0, 0] = 4 * (a + b + c), a - b + c, a - c
+        corner = (corner.reshape(-1, 16) @ CORNER).reshape(-1, 4, 4)
+        corner = np.flip(corner, [axis for axis, on in ((1, down), (2, right)) if on])
+        beside = basis(4).T @ beside.swapaxes(1, 2) @ basis(4)
+        half = np.concatenate([beside, corner] if right else [corner, beside], axis=2)
+        along = basis(4).T @ along @ basis(8)
+        return np.concatenate([along, half] if down else [half, along], axis=1)
+
+    return run
+
+
+#: Transforms by name.
+KINDS = {"identity": identity_blocks, "dct2x2": haar_blocks, "dct4x4": quarter_blocks, "dct4x8": wide_halves, "dct8x4": tall_halves} | {f"corner{k}": corner_blocks(k) for k in range(4)} | {
     f"dct{r}x{c}": plain_blocks(r, c) for r, c in ((8, 8), (16, 16), (32, 32), (16, 8), (8, 16), (32, 8), (8, 32), (32, 16), (16, 32), (64, 64), (64, 32), (32, 64), (128, 128), (128, 64), (64, 128), (256, 256), (256, 128), (128, 256))
 }
 
 
+def size_of(kind: str) -> tuple[int, int]:
+    """Rows and columns of samples; every special kind is 8x8."""
+    rows, cols = map(int, kind[3:].split("x")) if kind.startswith("dct") else (8, 8)
+    return max(rows, 8), max(cols, 8)
+
+
+def blocks_to_plane(blocks: DataFrame) -> DataFrame:
+    """(block_y, block_x, kind, coeff array, lf array) to the plane (y, x, v): the lowest coefficients of a block come from the samples of
+    the low-frequency image that it covers (row by row), then its transform. block_y and block_x count blocks of 8. In a subsampled
+    channel only blocks at its own places may be given; rows without coefficients give no samples."""
+
+    @F.pandas_udf("array<double>")
+    def run(kind: pd.Series, coeff: pd.Series, lf: pd.Series) -> pd.Series:
+        out = pd.Series([None] * len(kind), dtype=object)
+        for k, at in kind.groupby(kind).groups.items():
+            at = [i for i in at if coeff[i] is not None]
+            if not at:
+                continue
+            rows, cols = size_of(k)
+            m = np.stack([np.asarray(coeff[i], dtype=float) for i in at]).reshape(len(at), min(rows, cols), max(rows, cols))
+            for one, i in zip(m, at):
+                low = reinterpreting_dct(np.asarray(lf[i], dtype=float).reshape(rows // 8, cols // 8))
+                one[: low.shape[0], : low.shape[1]] = low
+            for i, v in zip(at, KINDS[k](m).reshape(len(at), -1)):
+                out[i] = v
+        return out
+
+    wide = F.create_map(*[F.lit(x) for k in KINDS for x in (k, size_of(k)[1])])[F.col("kind")]
+    cells = blocks.select("block_y", "block_x", wide.alias("w"), F.posexplode(run("kind", "coeff", "lf")).alias("k", "v"))
+    return cells.selectExpr("block_y * 8 + k div w y", "block_x * 8 + k % w x", "v")
+
+
 def inverse_blocks(tiles: DataFrame) -> DataFrame:
     """(id, kind, coeff array) to (id, kind, v array): the transform that each block names, in batches of a kind."""
 
@@ -199,7 +282,7 @@ def inverse_blocks(tiles: DataFrame) -> DataFrame:
     return tiles.select("id", "kind", run("kind", "coeff").alias("v"))
 
 
-SMALL = ["identity", "dct2x2", "dct4x4", "dct4x8", "dct8x4", "dct8x8"]
+SMALL = ["identity", "dct2x2", "dct4x4", "dct4x8", "dct8x4", "dct8x8", "corner0", "corner1", "corner2", "corner3"]
 
 
 def v14_block_transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -209,6 +292,16 @@ def v14_block_transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inverse_blocks(tiles).select("id", "kind", F.posexplode("v").alias("k", "v")).select("id", "kind", "k", F.round("v", 6).alias("v"))
 
 
+def v19_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of embeddings as 8x16 blocks, one below the other; the means of their two squares are the low-frequency samples."""
+    tiles = _embedding_tiles(spark, sf_dir, 8, 16)
+    low = F.expr("array(coeff[0] + coeff[1], coeff[0] - coeff[1])")
+    blocks = tiles.select(F.col("id").alias("block_y"), F.lit(0).alias("block_x"), F.lit("dct8x16").alias("kind"), "coeff", low.alias("lf"))
+    return blocks_to_plane(blocks).selectExpr("cast(y as long) y", "cast(x as int) x", "round(v, 6) v")
+
+
 _SIZES = [(16, 16), (8, 16), (16, 8), (32, 16), (32, 32), (64, 64), (64, 128)]
-QUERIES = {"v15_idct16_blocks": _idct_query(16, 16), "v14_block_transforms": v14_block_transforms} | {f"v15_idct_{r}x{c}": _idct_query(r, c) for r, c in _SIZES[1:]}
-ORACLE_SQL = {"v15_idct16_blocks": _idct_sql(16, 16)} | {f"v15_idct_{r}x{c}": _idct_sql(r, c) for r, c in _SIZES[1:]}
+QUERIES = {"v15_idct16_blocks": _idct_query(16, 16), "v14_block_transforms": v14_block_transforms, "v19_assembly": v19_assembly} | {f"v15_idct_{r}x{c}": _idct_query(r, c) for r, c in _SIZES[1:]}
+# the low-frequency samples c0 + c1 and c0 - c1 give the first coefficient c0 back, and the second one as 2 c1 by the format's scale
+_V19 = _idct_sql(8, 16).replace("embedding[t.x+1]::double c from", "embedding[t.x+1]::double * case when vec_id % 2 = 0 and t.x = 1 then 1e0/(cos(pi()/32)*cos(pi()/16)*cos(pi()/8)) else 1e0 end c from")
+ORACLE_SQL = {"v19_assembly": f"select id*8 + k//16 y, (k % 16)::int x, v from ({_V19})", "v15_idct16_blocks": _idct_sql(16, 16)} | {f"v15_idct_{r}x{c}": _idct_sql(r, c) for r, c in _SIZES[1:]}

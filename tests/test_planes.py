@@ -247,6 +247,18 @@ def test_special_blocks_by_their_definitions(spark):
                     out[:, 4 * k : 4 * k + 4] = idct(part.T)
             return out
         p, q, r, s = c[0, 0], c[0, 1], c[1, 0], c[1, 1]
+        if kind.startswith("corner"):
+            down, right = divmod(int(kind[-1]), 2)
+            parts = [c[::2, ::2].copy(), c[::2, 1::2].copy(), c[1::2].copy()]
+            for part, mean in zip(parts, (4 * (p + q + r), p - q + r, p - r)):
+                part[0, 0] = mean
+            for y in range(4):
+                for x in range(4):
+                    v = sum(parts[0][k // 4, k % 4] * vardct.CORNER[k, 4 * y + x] for k in range(16))
+                    out[7 - y if down else y, 7 - x if right else x] = v
+            out[4 * down : 4 * down + 4, 4 - 4 * right : 8 - 4 * right] = idct(parts[1].T)
+            out[4 - 4 * down : 8 - 4 * down] = idct(parts[2])
+            return out
         for k, mean in enumerate((p + q + r + s, p + q - r - s, p - q + r - s, p - q - r + s)):
             y, x = divmod(k, 2)
             part = c[y::2, x::2].copy()
@@ -273,6 +285,36 @@ def test_special_blocks_by_their_definitions(spark):
         assert np.allclose(vardct.KINDS[kind](m)[1], vardct.idct2d(m[1].reshape(r, c)))
 
 
+def test_corner_waves():
+    """Waves are orthonormal; the format's numbers of some of them."""
+    w = vardct.CORNER
+    assert np.allclose(w @ w.T, np.eye(16))
+    assert np.allclose(w[1, :5], [0.8769029298, 0.2206518107, -0.1014005039, -0.1014005039, 0.2206518107])
+    assert np.allclose(w[5, :3], [-0.4105, 0.6235, -0.0644], atol=1e-4)
+    assert np.allclose(w[2, [2, 3, 6, 7, 11]], [0.4067007583, 0.4444481662, 0.1957439937, 0.2929100137, 0.1137907446])
+    assert np.allclose(vardct.CORNER_FREQUENCY[[0, 2, 3], [2, 1, 3]], [0.8517778890, 4, 12.9716620257])
+
+
+def test_assembly_of_blocks(spark):
+    draw = np.random.default_rng(1)
+    rows, want = [], np.zeros((32, 32))
+    for y, x, kind in ((0, 0, "dct16x32"), (2, 0, "dct8x8"), (2, 1, "corner2"), (2, 2, "dct16x8"), (2, 3, "dct16x8"), (3, 0, "identity"), (3, 1, "dct4x8")):
+        h, w = vardct.size_of(kind)
+        coeff, lf = draw.normal(size=(min(h, w), max(h, w))), draw.normal(size=(h // 8, w // 8))
+        rows.append((y, x, kind, coeff.ravel().tolist(), lf.ravel().tolist()))
+        low = vardct.reinterpreting_dct(lf)
+        coeff[: low.shape[0], : low.shape[1]] = low
+        want[8 * y : 8 * y + h, 8 * x : 8 * x + w] = vardct.KINDS[kind](coeff[None])[0]
+    ddl = "block_y int, block_x int, kind string, coeff array<double>, lf array<double>"
+    got = np.full((32, 32), np.nan)
+    for r in vardct.blocks_to_plane(spark.createDataFrame([*rows, (9, 9, "dct8x8", None, None)], ddl)).collect():
+        got[r.y, r.x] = r.v
+    assert np.allclose(got, want)
+    flat = spark.createDataFrame([(0, 0, "dct32x16", [0.0] * 512, [3.5] * 8)], ddl)
+    assert {round(r.v, 9) for r in vardct.blocks_to_plane(flat).collect()} == {3.5}
+    assert vardct.blocks_to_plane(flat.where("false")).count() == 0
+
+
 def test_colour_transforms_undo_themselves():
     from tessera.bitstream.modular import do_rct, undo_rct
 
