@@ -378,7 +378,7 @@ def planned(channels: list[Channel], transforms: list[Transform]) -> tuple[list[
         elif t.kind == "palette":
             if t.begin + t.count > len(now) or len({c.size for c in now[t.begin : t.begin + t.count]}) > 1:
                 raise StreamError("palette of unequal channels")
-            table = Channel(np.zeros((t.count, t.colours), np.int64), (-1, -1), True)
+            table = Channel(np.zeros((t.count, t.colours + t.deltas), np.int64), (-1, -1), True)
             now = [table, *now[: t.begin + 1], *now[t.begin + t.count :]]
         else:
             for horizontal, in_place, begin, count in t.steps:
@@ -471,25 +471,42 @@ def do_rct(channels: list[np.ndarray], kind: int) -> list[np.ndarray]:
     return [a, b, c - a if op & 1 else c]
 
 
+# Red, green and blue of the differences that negative indices stand for.
+DELTAS = np.array(
+    """0 0 0, 4 4 4, 11 0 0, 0 0 -13, 0 -12 0, -10 -10 -10, -18 -18 -18, -27 -27 -27, -18 -18 0, 0 0 -32, -32 0 0, -37 -37 -37,
+    0 -32 -32, 24 24 45, 50 50 50, -45 -24 -24, -24 -45 -45, 0 -24 -24, -34 -34 0, -24 0 -24, -45 -45 -24, 64 64 64, -32 0 -32, 0 -32 0,
+    -32 0 32, -24 -45 -24, 45 24 45, 24 -24 -45, -45 -24 24, 80 80 80, 64 0 0, 0 0 -64, 0 -64 -64, -24 -24 45, 96 96 96, 64 64 0,
+    45 -24 -24, 34 -34 0, 112 112 112, 24 -45 -45, 45 45 -24, 0 -32 32, 24 -24 45, 0 96 96, 45 -24 24, 24 -45 -24, -24 -45 24, 0 -64 0,
+    96 0 0, 128 128 128, 64 0 64, 144 144 144, 96 96 0, -36 -36 36, 45 -24 -45, 45 -45 -24, 0 0 -96, 0 128 128, 0 96 0, 45 24 -45,
+    -128 0 0, 24 -45 24, -45 24 -45, 64 0 -64, 64 -64 -64, 96 0 96, 45 -45 24, 24 45 -45, 64 64 -64, 128 128 0, 0 0 -128, -24 45 -45""".replace(",", " ").split(),
+    dtype=np.int64,
+).reshape(-1, 3)
+
+
+def implicit_delta(index: np.ndarray, c: int, bits: int) -> np.ndarray:
+    """Of negative indices: -1 is no difference, then each row of the table as it is and negated, over and over; deeper samples scale it."""
+    turn = (-1 - index) % (2 * len(DELTAS) - 1)
+    return DELTAS[(turn + 1) // 2, c] * np.where(turn % 2, 1, -1) << max(0, min(bits, 24) - 8)
+
+
 def colour_of(index: np.ndarray, table: np.ndarray, c: int, bits: int) -> np.ndarray:
-    """Entries of a palette, and beyond it the implicit ones: a cube of four levels a channel, then one of five."""
+    """Entries of a palette, and beyond it the implicit ones: a cube of four levels a channel, then one of five; before it differences."""
     n = table.shape[1]
     top = (1 << min(bits, 24)) - 1
     small = index - n
     four = (small >> 2 * min(c, 2) & 3) * top // 4 + (1 << max(0, min(bits, 24) - 3))
     five = (small - 64) // 5 ** min(c, 2) % 5 * top // 4
     known = table[c][np.clip(index, 0, max(n - 1, 0))] if n else np.zeros_like(index)
-    return np.where(index < n, known, np.where(small < 64, four, five) if c < 3 else 0)
+    implied = np.where(index < 0, implicit_delta(index, c, bits), np.where(small < 64, four, five)) if c < 3 else 0
+    return np.where((index >= 0) & (index < n), known, implied)
 
 
 def undo_palette(table: np.ndarray, index: Channel, t: Transform, bits: int, weights: Weights) -> list[Channel]:
-    """Indices to colours; below t.deltas an entry is added to the prediction of its channel."""
-    if (index.v < 0).any():
-        raise NotImplementedError("negative indices of a palette")
+    """Indices to colours; below t.deltas, and so for all negative ones, an entry is added to the prediction of its channel."""
     out = []
     for c in range(t.count):
         value = Channel(colour_of(index.v, table, c, bits), index.shift)
-        if t.deltas:
+        if t.deltas or t.predictor:
             entry, delta = value.v.copy(), index.v < t.deltas
             leaf = [Node(predictor=t.predictor)]
             walk(leaf, value, [], 0, 0, weights, lambda _, guess, factor, y, x, e=entry, d=delta: wrapped(int(e[y, x]) + (guess if d[y, x] else 0)))
@@ -555,7 +572,7 @@ def encode_stream(s: BitSink, arrays: list[np.ndarray], tree: list[Node], transf
         elif t.kind == "palette":
             flat = np.stack([c.v.ravel() for c in now[t.begin : t.begin + t.count]])
             table, index = np.unique(flat, axis=1, return_inverse=True)
-            if table.shape[1] != t.colours or t.deltas:
+            if table.shape[1] != t.colours or t.deltas or t.predictor:
                 raise ValueError("only palettes of exactly the colours that occur are written")
             first = now[t.begin]
             now = [Channel(table, (-1, -1), True), *now[: t.begin], replace(first, v=index.reshape(first.size).astype(np.int64)), *now[t.begin + t.count :]]

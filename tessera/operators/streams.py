@@ -360,6 +360,24 @@ def m16_delta_palette(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("y", F.posexplode("v").alias("x", "v"))
 
 
+def m15_negative_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders' customers as negative indices of an empty palette of three colours, at 10 bits."""
+
+    def rows_of(cols):
+        index = modular.Channel(-1 - np.array(cols["c"], np.int64)[None])
+        three = modular.undo_palette(np.zeros((3, 0), np.int64), index, modular.Transform("palette"), 10, modular.Weights())
+        yield from zip(cols["k"], *[c.v[0].tolist() for c in three])
+
+    orders = views.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"))
+    return map_rows(orders, rows_of, "k long, r long, g long, b long", 4096)
+
+
+# every difference appears negated, then as it is; four times as large at 10 bits
+_M15 = "with d as (values " + ", ".join(f"({n}, {r}, {g}, {b})" for n, (r, g, b) in enumerate(modular.DELTAS.tolist())) + """),
+o as (select o_orderkey k, (o_custkey % 143)::int t from orders), q as (select k, (t + 1)//2 n, case when t % 2 = 1 then 4 else -4 end f from o)
+select k, (col1*f)::bigint r, (col2*f)::bigint g, (col3*f)::bigint b from q join d on d.col0 = n"""
+
+
 QUERIES = {
     "s7_file_header": s7_file_header,
     "s8_frame_header": s8_frame_header,
@@ -379,6 +397,7 @@ QUERIES = {
     "m10_channels": _images_query(),
     "m11_specialised": m11_specialised,
     "m12_sub_streams": _images_query([modular.Transform("rct", 0, 3, 6), modular.Transform("squeeze")], prefix=False, tree=[N(predictor=5)]),
+    "m15_negative_indices": m15_negative_indices,
     "m16_delta_palette": m16_delta_palette,
     "m19_squeeze_plan": m19_squeeze_plan,
     "m20_transform_plan": _images_query(_palette, channels=coarse, n=2),
@@ -402,6 +421,7 @@ _ORACLES = {
     "m10_channels": _THREE,
     "m11_specialised": _M11,
     "m12_sub_streams": _THREE,
+    "m15_negative_indices": _M15,
     "m16_delta_palette": "select y, x, ((v % 8) + 8) % 8 v from {ints}",
     "m19_squeeze_plan": _M19,
     "m20_transform_plan": "select y//16 id, y % 16 y, x, abs(v)//500 c0, abs(v) % 3 c1 from {ints}",

@@ -254,3 +254,16 @@ def test_headers():
         assert headers.read_contents(b, 6) == [(i, at[p], sizes[p]) for i, p in enumerate(order)]
     with pytest.raises(EOFError):
         headers.read_file_header(Bits(b"\x00"))
+
+
+def test_palettes_before_and_beyond_their_entries():
+    """Differences, entries, cubes; a palette of 2 differences and 3 colours is 5 wide."""
+    table = np.array([[1, -1, 10, 20, 30], [2, -2, 11, 21, 31], [3, -3, 12, 22, 32]])
+    index = modular.Channel(np.array([[2, 0, 1, -2, -3, -4, -1, -144, 4, 5, 5 + 63, 5 + 64, 5 + 64 + 124]]))
+    t = modular.Transform("palette", 0, 3, 0, 3, 2, 1)
+    got = np.stack([c.v[0] for c in modular.undo_palette(table, index, t, 8, modular.Weights())], 1).tolist()
+    want = [[10, 11, 12], [11, 13, 15], [10, 11, 12], [14, 15, 16], [10, 11, 12], [21, 11, 12], [21, 11, 12], [21, 11, 12], [30, 31, 32], [32, 32, 32], [223, 223, 223], [0, 0, 0], [255, 255, 255]]
+    assert got == want
+    channels, _ = modular.planned([modular.Channel(np.zeros((4, 4), np.int64)) for _ in range(3)], [t])
+    assert [c.size for c in channels] == [(3, 5), (4, 4)]
+    assert len(modular.DELTAS) == 72
