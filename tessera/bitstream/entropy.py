@@ -546,7 +546,7 @@ class Reader:
             raise StreamError("the stream ends in a wrong state")
 
 
-def _tokens(values: list[tuple[int, int]], code: Code) -> list[tuple[int, int, int, int]]:
+def tokens_of(values: list[tuple[int, int]], code: Code) -> list[tuple[int, int, int, int]]:
     """(cluster, token, number of plain bits, plain bits); runs of equal values become copies of the last one if the code has copies."""
     out, i = [], 0
     while i < len(values):
@@ -579,7 +579,7 @@ def encode(s: BitSink, values: list[tuple[int, int]], contexts: int, prefix: boo
     if copies and only_repeats:
         splits[-1] = Split(0, 0, 0)
     plan = Code(clusters, splits, [PrefixCode([], 0)] * n, 15 if prefix else 8, copies, Split(4, 2, 0) if copies else None)
-    tokens = _tokens(values, plan)
+    tokens = tokens_of(values, plan)
     if copies and only_repeats:
         tokens = [(c, 1, 0, 0) if c == clusters[-1] else (c, t, k, x) for c, t, k, x in tokens]
     counts = [[0] * (1 + max((t for c, t, _, _ in tokens if c == k), default=0)) for k in range(n)]

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.arrow import map_rows
-from tessera.bitstream import entropy, headers, modular
+from tessera.bitstream import blocks, entropy, headers, modular, quant
 from tessera.bitstream.bits import Bits, BitSink, pack_signed, unpack_signed
 from tessera.sources import views
 
@@ -372,6 +372,79 @@ def m15_negative_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return map_rows(orders, rows_of, "k long, r long, g long, b long", 4096)
 
 
+def v3_block_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A map of 2x3 blocks for each customer: five or six special ones, or a large one and two."""
+
+    def rows_of(cols):
+        for i in cols["c_custkey"]:
+            kinds = [blocks.KINDS[12 + (i + j) % 6] for j in range(6)] if i % 2 else ["dct16x16", "corner1", "dct4x4"]
+            where = blocks.placed(kinds, 2, 3)
+            given = [(y, x, k, 1 + (i * 7 + j) % 256) for j, ((y, x), k) in enumerate(zip(where, kinds))]
+            s = BitSink()
+            blocks.write_map(s, blocks.BlockMap(given, np.arange(6).reshape(2, 3) + i % 3, np.array([[i % 300 - 150]]), np.array([[i % 5]])))
+            m = blocks.read_map(Bits(s.bytes()), 2, 3)
+            for y, x, kind, q in m.blocks:
+                yield i, y, x, kind, q, int(m.sharpness[y, x]), int(m.x_from_y[0, 0]), int(m.b_from_y[0, 0])
+
+    return map_rows(views.read(spark, sf_dir, "customer").select("c_custkey"), rows_of, "id long, y int, x int, kind string, quant int, sharpness int, x_from_y int, b_from_y int")
+
+
+_V3 = """with odd as (select c_custkey i, j.j, j.j // 3 y, j.j % 3 x, ['dct4x8', 'dct8x4', 'corner0', 'corner1', 'corner2', 'corner3'][1 + (c_custkey + j.j) % 6] kind from customer, range(0, 6) j(j) where c_custkey % 2 = 1),
+even as (select c_custkey i, j.j, case when j.j = 2 then 1 else 0 end y, case when j.j = 0 then 0 else 2 end x, ['dct16x16', 'corner1', 'dct4x4'][1 + j.j] kind from customer, range(0, 3) j(j) where c_custkey % 2 = 0)
+select i::bigint id, y::int y, x::int x, kind, (1 + (i*7 + j) % 256)::int quant, (y*3 + x + i % 3)::int sharpness, greatest(-128, least(127, i % 300 - 150))::int x_from_y, (i % 5)::int b_from_y from (select * from odd union all select * from even)"""
+
+
+def v7_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each embedding as a group of three blocks that differ in kind, its values in steps of 1/4, 1/8 and 1/12 in the three channels; groups
+    of a batch share their distributions."""
+    kinds = ["dct8x8", "corner3", "dct4x8"]
+
+    def rows_of(cols):
+        row = [(0, j, k, 1 + 9 * j) for j, k in enumerate(kinds)]
+        values = [[np.trunc(np.outer([4, 8, 12], e)).astype(np.int64) * (j + 1) for j in range(3)] for e in cols["embedding"]]
+        s = BitSink()
+        groups = blocks.write_coefficients(s, [(v, row) for v in values], 1, 3)
+        code = entropy.Code.read_from(Bits(s.bytes()), blocks.Contexts().total)
+        for i, group in zip(cols["vec_id"], groups):
+            for j, got in enumerate(blocks.read_coefficients(Bits(group), code, row, 1, 3)):
+                yield i, kinds[j], got[0].tolist(), got[1].tolist(), got[2].tolist()
+
+    e = views.read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    out = map_rows(e, rows_of, "id long, kind string, x array<long>, y array<long>, b array<long>")
+    return out.select("id", "kind", F.posexplode(F.arrays_zip("x", "y", "b")).alias("k", "v")).select("id", "kind", "k", "v.x", "v.y", "v.b")
+
+
+# the lowest coefficient of a block comes from elsewhere
+_V7 = """select vec_id::bigint id, ['dct8x8', 'corner3', 'dct4x8'][j.j + 1] kind, k.k::int k, case when k.k = 0 then 0 else trunc(embedding[k.k+1]::double*4)*(j.j+1) end::bigint x,
+case when k.k = 0 then 0 else trunc(embedding[k.k+1]::double*8)*(j.j+1) end::bigint y, case when k.k = 0 then 0 else trunc(embedding[k.k+1]::double*12)*(j.j+1) end::bigint b from embeddings, range(0, 64) k(k), range(0, 3) j(j)"""
+
+
+def v9_quant_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inverse weights of the default tables that follow distance bands, at most 64 a side, by way of their written form."""
+
+    def rows_of(cols):
+        for n in cols["id"]:
+            kind = list(quant.SIZES)[n]
+            s = BitSink()
+            quant.write_encoding(s, quant.Encoding("default"))
+            w = quant.weights(quant.read_encoding(Bits(s.bytes()), kind), kind)
+            for c in range(3):
+                yield kind, c, (1000 / w[c]).ravel().tolist()
+
+    small = [n for n, (k, size) in enumerate(quant.SIZES.items()) if quant.default(k).mode == "bands" and max(size) <= 64]
+    ids = spark.range(len(quant.SIZES)).where(F.col("id").isin(small))
+    return map_rows(ids, rows_of, "kind string, channel int, w array<double>").select("kind", "channel", F.posexplode("w").alias("k", "v")).select("kind", "channel", "k", F.round("v", 6).alias("per_mille"))
+
+
+def _v9_sql() -> str:
+    """Levels by running products of the steps, then the definition of the interpolation."""
+    given = [(k, *quant.SIZES[k], c, n, v) for k in quant.SIZES if quant.default(k).mode == "bands" and max(quant.SIZES[k]) <= 64 for c, row in enumerate(quant.default(k).bands.tolist()) for n, v in enumerate(row)]
+    rows = ", ".join(f"('{k}', {h}, {w}, {c}, {n}, {v!r}e0)" for k, h, w, c, n, v in given)
+    return f"""with p(kind, h, w, c, n, v) as (values {rows}), l as (select *, product(case when n = 0 then v when v > 0 then 1e0+v else 1e0/(1e0-v) end) over (partition by kind, c order by n) a, max(n) over (partition by kind) top from p),
+cells as (select kind, h, w, c, top, k.k from l, range(0, 4096) k(k) where n = 0 and k.k < h*w), d as (select *, sqrt(((k//w)*1e0/(h-1))**2 + ((k%w)*1e0/(w-1))**2)*top/(sqrt(2e0)+1e-6) s from cells)
+select d.kind, d.c::int channel, k::int k, round(1000e0/(i.a*pow(j.a/i.a, s-floor(s))), 6) per_mille from d join l i on i.kind = d.kind and i.c = d.c and i.n = floor(s)::int join l j on j.kind = d.kind and j.c = d.c and j.n = floor(s)::int+1"""
+
+
 # every difference appears negated, then as it is; four times as large at 10 bits
 _M15 = "with d as (values " + ", ".join(f"({n}, {r}, {g}, {b})" for n, (r, g, b) in enumerate(modular.DELTAS.tolist())) + """),
 o as (select o_orderkey k, (o_custkey % 143)::int t from orders), q as (select k, (t + 1)//2 n, case when t % 2 = 1 then 4 else -4 end f from o)
@@ -398,6 +471,9 @@ QUERIES = {
     "m11_specialised": m11_specialised,
     "m12_sub_streams": _images_query([modular.Transform("rct", 0, 3, 6), modular.Transform("squeeze")], prefix=False, tree=[N(predictor=5)]),
     "m15_negative_indices": m15_negative_indices,
+    "v3_block_maps": v3_block_maps,
+    "v7_coefficients": v7_coefficients,
+    "v9_quant_tables": v9_quant_tables,
     "m16_delta_palette": m16_delta_palette,
     "m19_squeeze_plan": m19_squeeze_plan,
     "m20_transform_plan": _images_query(_palette, channels=coarse, n=2),
@@ -422,6 +498,9 @@ _ORACLES = {
     "m11_specialised": _M11,
     "m12_sub_streams": _THREE,
     "m15_negative_indices": _M15,
+    "v3_block_maps": _V3,
+    "v7_coefficients": _V7,
+    "v9_quant_tables": _v9_sql(),
     "m16_delta_palette": "select y, x, ((v % 8) + 8) % 8 v from {ints}",
     "m19_squeeze_plan": _M19,
     "m20_transform_plan": "select y//16 id, y % 16 y, x, abs(v)//500 c0, abs(v) % 3 c1 from {ints}",

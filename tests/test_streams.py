@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from tessera.bitstream import entropy as en
-from tessera.bitstream import headers, modular
+from tessera.bitstream import blocks, headers, modular, quant
 from tessera.bitstream.bits import Bits, BitSink, StreamError, pack_signed, unpack_signed
 from tessera.operators import streams
 from tests.compare import duck, same
@@ -267,3 +267,146 @@ def test_palettes_before_and_beyond_their_entries():
     channels, _ = modular.planned([modular.Channel(np.zeros((4, 4), np.int64)) for _ in range(3)], [t])
     assert [c.size for c in channels] == [(3, 5), (4, 4)]
     assert len(modular.DELTAS) == 72
+
+
+def test_shapes_of_blocks():
+    assert [blocks.SHAPE[k] for k in blocks.KINDS] == [0, 1, 1, 1, 2, 3, 4, 4, 5, 5, 6, 6, 1, 1, 1, 1, 1, 1, 7, 8, 8, 9, 10, 10, 11, 12, 12]
+    assert {blocks.quant_kind(k) for k in blocks.KINDS} == set(quant.SIZES)
+    # offsets of a coefficient's context by how many are left and by place: the least and greatest of each step
+    c = blocks.Contexts()
+    at = lambda left, k: (c.of_coefficient(0, left, k, 1, False) - 37 * 15) // 2
+    assert [at(n, 1) for n in (1, 2, 3, 4, 5, 8, 9, 12, 13, 20, 21, 32, 33, 63)] == [0, 31, 62, 62, 93, 93, 123, 123, 152, 152, 180, 180, 206, 206]
+    assert [at(1, k) for k in (1, 15, 16, 17, 18, 31, 32, 35, 36, 63)] == [0, 14, 15, 15, 16, 22, 23, 23, 24, 30]
+    assert [c.of_count(3, n) for n in (0, 7, 8, 9, 63, 64, 900)] == [15 * n + 3 for n in (0, 7, 8, 8, 35, 36, 36)]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_random_coefficients(seed):
+    draw = np.random.default_rng(seed)
+    grid = [(0, 0, "dct16x32", 3), (0, 4, "dct8x8", 9), (0, 5, "corner2", 40), (1, 4, "dct8x16", 200), (2, 0, "dct16x16", 1), (2, 2, "dct8x32", 7), (3, 2, "dct4x8", 5), (3, 3, "identity", 6), (3, 4, "dct2x2", 3), (3, 5, "dct8x8", 2)]
+    assert blocks.placed([k for _, _, k, _ in grid], 4, 6) == [(y, x) for y, x, *_ in grid]
+    values = []
+    for _, _, k, _ in grid:
+        n = int(np.prod(blocks.size_of(k)))
+        v = np.where(draw.random((3, n)) < draw.random(), draw.integers(-90, 90, (3, n)), 0)
+        v[:, blocks.order_of(k)[: n // 64]] = 0
+        values.append(v)
+    contexts = blocks.Contexts() if seed % 2 else blocks.Contexts([int(x) for x in np.arange(39 * 4 * 6) % 11], ((0,), (5,), ()), (4, 30, 90, 150, 200))
+    lf = None if seed % 2 else blocks.lf_index(contexts, [draw.integers(-9, 9, (4, 6)) for _ in range(3)])
+    s = BitSink()
+    (group,) = blocks.write_coefficients(s, [(values, grid)], 4, 6, contexts, histograms=3, chosen=seed % 3, lf=lf, prefix=seed < 2)
+    code = en.Code.read_from(Bits(s.bytes()), 3 * contexts.total)
+    read = lambda **more: blocks.read_coefficients(Bits(group), code, grid, 4, 6, contexts, histograms=3, lf=lf, **more)
+    once = read()
+    assert all((a == b).all() for a, b in zip(once, values))
+    # a second pass of finer steps adds to the first one
+    assert all((a == 5 * b).all() for a, b in zip(read(shift=2, before=once), values))
+    with pytest.raises((StreamError, EOFError)):
+        blocks.read_coefficients(Bits(group[: len(group) // 2]), code, grid, 4, 6, contexts, histograms=3, lf=lf)
+
+
+def test_subsampled_coefficients():
+    """X and B at half size: only blocks at even places have them."""
+    draw = np.random.default_rng(9)
+    grid = [(y, x, "dct8x8", 4) for y in range(2) for x in range(4)]
+    values = [draw.integers(-3, 4, (3, 64)) for _ in grid]
+    for v, (y, x, *_) in zip(values, grid):
+        v[:, 0] = 0
+        v[[0, 2]] *= not (y % 2 or x % 2)
+    s, half = BitSink(), ((1, 1), (0, 0), (1, 1))
+    (group,) = blocks.write_coefficients(s, [(values, grid)], 2, 4, shifts=half)
+    got = blocks.read_coefficients(Bits(group), en.Code.read_from(Bits(s.bytes()), blocks.Contexts().total), grid, 2, 4, shifts=half)
+    assert all((a == b).all() for a, b in zip(got, values))
+
+
+def test_low_frequencies():
+    draw = np.random.default_rng(3)
+    x, y, b = (draw.integers(-50, 50, (3, 5)) for _ in range(3))
+    s = BitSink()
+    s.write(2, 1)
+    modular.encode_stream(s, [y, x, b], [modular.Node(predictor=5)])
+    whole, out = blocks.read_lf(Bits(s.bytes()), 3, 5, (2.0, 4.0, 8.0), (0.5, 1.0))
+    assert (whole[0] == x).all() and (whole[1] == y).all()
+    assert np.allclose(out[1], 2 * y) and np.allclose(out[0], x + y) and np.allclose(out[2], 4 * b + 2 * y)
+    c = blocks.Contexts(lf=((0,), (-1, 3), (2,)))
+    at = blocks.lf_index(c, whole)
+    assert c.n_lf == 12 and at[1, 2] == ((x[1, 2] > 0) * 2 + (b[1, 2] > 2)) * 3 + (y[1, 2] > -1) + (y[1, 2] > 3)
+
+
+def test_maps_that_cannot_be():
+    for kinds, rows, cols in ((["dct16x16"], 1, 2), (["dct8x8"], 1, 2), (["dct8x8", "dct16x8", "dct16x16"], 2, 3), (["dct8x8"] * 31 + ["dct8x16"], 1, 40)):
+        with pytest.raises(StreamError):
+            blocks.placed(kinds, rows, cols)
+
+
+@pytest.mark.parametrize("kind", [k for k in quant.SIZES if max(quant.SIZES[k]) <= 32])
+def test_weights_by_their_definitions(kind):
+    """Sample by sample, of the default parameters as they come back from a stream (exactly where halves can hold them)."""
+    e = quant.default(kind)
+    s = BitSink()
+    quant.write_encodings(s, {kind: e})
+    back = quant.read_encodings(Bits(s.bytes()))
+    assert np.allclose(quant.weights(back[kind], kind), quant.weights(quant.Encoding("default"), kind), rtol=0.03)
+    assert all(v.mode == "default" for k, v in back.items() if k != kind)
+
+    def steps(v):
+        out = [v[0]]
+        for x in v[1:]:
+            out.append(out[-1] * (1 + x) if x > 0 else out[-1] / (1 - x))
+        return out
+
+    def level(w, place):
+        i = int(place)
+        return w[i] * (w[i + 1] / w[i]) ** (place - i)
+
+    def far(bands, y, x, h, w):
+        n = len(bands) - 1
+        return level(steps(bands), n / (2**0.5 + 1e-6) * ((y / (h - 1)) ** 2 + (x / (w - 1)) ** 2) ** 0.5)
+
+    h, w = quant.SIZES[kind]
+    got = quant.weights(e, kind)
+    f = [0, 0, 0.8517778890324296, 5.37778436506804, 0, 0, 4.734747904497923, 5.449245381693219, 1.6598270267479331, 4, 7.275749096817861, 10.423227632456525, 2.662932286148962, 7.630657783650829, 8.962388608184032, 12.97166202570235]
+    for c in range(3):
+        for y in range(h):
+            for x in range(w):
+                v = None if e.values is None else e.values[c]
+                if e.mode == "bands":
+                    want = far(e.bands[c], y, x, h, w)
+                elif e.mode == "identity":
+                    want = {(0, 1): v[1], (1, 0): v[1], (1, 1): v[2]}.get((y, x), v[0])
+                elif e.mode == "haar":
+                    n = max(y, x).bit_length()
+                    want = v[2 * n - 2 + (min(y, x) >= 1 << n - 1)] if n else 1
+                elif e.mode == "quarters":
+                    want = far(e.bands[c], y // 2, x // 2, 4, 4)
+                elif e.mode == "halves":
+                    want = far(e.bands[c], y // 2, x, 4, 8)
+                elif (y, x) in ((0, 0), (1, 0), (0, 1), (2, 0), (0, 2), (2, 2)):
+                    want = [1, *v[:5]][((0, 0), (1, 0), (0, 1), (2, 0), (0, 2), (2, 2)).index((y, x))]
+                elif y % 2:
+                    want = far(e.bands[c], y // 2, x, 4, 8)
+                elif x % 2:
+                    want = far(e.more[c], y // 2, x // 2, 4, 4)
+                else:
+                    want = level(steps(v[5:]), (f[2 * y + x // 2] - f[2]) * 3 / (f[15] - f[2] + 1e-6))
+                assert np.isclose(got[c, y, x], want), (y, x)
+
+
+def test_encodings_of_weights():
+    raw = np.arange(1, 193).reshape(3, 8, 8)
+    e = {"dct8x8": quant.Encoding("raw", raw, unit=0.25), "dct4x4": quant.Encoding("quarters", np.full((3, 2), 2.0), np.full((3, 1), 64.0)), "dct4x8": quant.Encoding("halves", np.full((3, 1), 0.5), np.full((3, 1), 128.0))}
+    s = BitSink()
+    quant.write_encodings(s, e, lambda s, v: modular.encode_stream(s, list(v), [modular.Node(predictor=1)]))
+    got = quant.read_encodings(Bits(s.bytes()), lambda b, kind: np.stack(modular.decode_stream(b, [quant.SIZES[kind]] * 3)))
+    assert np.allclose(quant.weights(got["dct8x8"], "dct8x8"), 4 / raw)
+    w = quant.weights(got["dct4x4"], "dct4x4")
+    assert (w[:, 0, 1] == 32).all() and (w[:, 1, 1] == 32).all() and (w[:, 2:] == 64).all()
+    assert (quant.weights(got["dct4x8"], "dct4x8")[:, 1, 0] == 256).all()
+    s = BitSink()
+    quant.write_encodings(s, {})
+    assert len(s.bytes()) == 1 and quant.read_encodings(Bits(s.bytes()))["corner"].mode == "default"
+    for kind, bad in (("dct16x16", quant.Encoding("identity", np.ones((3, 3)))), ("dct8x8", quant.Encoding("bands", bands=np.zeros((3, 1))))):
+        s = BitSink()
+        quant.write_encoding(s, bad)
+        with pytest.raises(StreamError):
+            quant.read_encoding(Bits(s.bytes()), kind)
