@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.arrow import map_rows
-from tessera.bitstream import blocks, entropy, headers, modular, quant
+from tessera.bitstream import blocks, entropy, headers, modular, profile, quant
 from tessera.bitstream.bits import Bits, BitSink, pack_signed, unpack_signed
 from tessera.sources import views
 
@@ -372,6 +372,19 @@ def m15_negative_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return map_rows(orders, rows_of, "k long, r long, g long, b long", 4096)
 
 
+def s11_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers' names, many times over, as profiles that go through a stream."""
+
+    def rows_of(cols):
+        for i, icc in zip(cols["id"], cols["icc"]):
+            s = BitSink()
+            profile.write_profile(s, bytes(icc), i % 2 == 0)
+            yield i, profile.read_profile(Bits(s.bytes()))
+
+    named = views.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.expr("cast(repeat(s_name, cast(s_suppkey % 20 as int)) as binary)").alias("icc"))
+    return map_rows(named, rows_of, "id long, icc binary").select("id", F.length("icc").cast("long").alias("n_bytes"), F.sha2("icc", 256).alias("sha256"))
+
+
 def v3_block_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A map of 2x3 blocks for each customer: five or six special ones, or a large one and two."""
 
@@ -471,6 +484,7 @@ QUERIES = {
     "m11_specialised": m11_specialised,
     "m12_sub_streams": _images_query([modular.Transform("rct", 0, 3, 6), modular.Transform("squeeze")], prefix=False, tree=[N(predictor=5)]),
     "m15_negative_indices": m15_negative_indices,
+    "s11_profiles": s11_profiles,
     "v3_block_maps": v3_block_maps,
     "v7_coefficients": v7_coefficients,
     "v9_quant_tables": v9_quant_tables,
@@ -498,6 +512,7 @@ _ORACLES = {
     "m11_specialised": _M11,
     "m12_sub_streams": _THREE,
     "m15_negative_indices": _M15,
+    "s11_profiles": "select s_suppkey::bigint id, length(r)::bigint n_bytes, sha256(r) sha256 from (select s_suppkey, repeat(s_name, s_suppkey % 20) r from supplier)",
     "v3_block_maps": _V3,
     "v7_coefficients": _V7,
     "v9_quant_tables": _v9_sql(),

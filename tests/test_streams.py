@@ -1,15 +1,18 @@
 """The bit-stream reader against published vectors, random round trips and hand-made streams."""
 
+import hashlib
 import random
+import struct
 from dataclasses import replace
 
 import numpy as np
 import pytest
 
 from tessera.bitstream import entropy as en
-from tessera.bitstream import blocks, headers, modular, quant
+from tessera.bitstream import blocks, headers, modular, profile, quant
 from tessera.bitstream.bits import Bits, BitSink, StreamError, pack_signed, unpack_signed
 from tessera.operators import streams
+from tessera.sources import icc
 from tests.compare import duck, same
 
 SF = "/root/testdata/sf0.001"
@@ -410,3 +413,72 @@ def test_encodings_of_weights():
         quant.write_encoding(s, bad)
         with pytest.raises(StreamError):
             quant.read_encoding(Bits(s.bytes()), kind)
+
+
+def tags_of(raw):
+    n = struct.unpack_from(">I", raw, 128)[0]
+    return {t: raw[at : at + size] for t, at, size in (struct.unpack_from(">4sII", raw, 132 + 12 * k) for k in range(n))}
+
+
+def test_profiles_of_encodings(spark):
+    raw = icc.profile("RGB", "D65", "SRG", "SRG", "Per")
+    tags = tags_of(raw)
+    assert struct.unpack_from(">I", raw)[0] == len(raw) and raw[36:40] == b"acsp" and len(raw) % 4 == 0
+    assert tags[b"desc"][28:].decode("utf-16-be") == "sRGB" and tags[b"cicp"][8:] == bytes([1, 13, 0, 1])
+    point = lambda t: np.frombuffer(tags[t][8:], ">i4") / 65536
+    # published values of the colour space's profiles
+    assert np.allclose([point(t) for t in (b"rXYZ", b"gXYZ", b"bXYZ")], [[0.43607, 0.22249, 0.01392], [0.38515, 0.71687, 0.09708], [0.14307, 0.06061, 0.71410]], atol=2e-4)
+    assert np.allclose(np.frombuffer(tags[b"chad"][8:], ">i4") / 65536, [1.04788, 0.02292, -0.05022, 0.02959, 0.99048, -0.01707, -0.00925, 0.01508, 0.75168], atol=5e-4)  # of a rounder D65
+    assert tags[b"rTRC"] == tags[b"gTRC"] == tags[b"bTRC"] and raw.count(b"para") == 1
+    bare = bytearray(icc.profile("RGB", "D65", "SRG", "SRG", "Abs"))
+    assert struct.unpack_from(">I", bare, 64)[0] == 3
+    digest, bare[84:100], bare[64:68] = bytes(bare[84:100]), bytes(16), bytes(4)
+    assert hashlib.md5(bare).digest() == digest
+    grey = icc.profile("Gra", "DCI", None, 0.5)
+    assert tags_of(grey)[b"desc"][28:].decode("utf-16-be") == "Gra_DCI_Rel_g0.5000000" and tags_of(grey)[b"kTRC"][12:] == struct.pack(">I", 2 << 16) and grey[16:20] == b"GRAY"
+    with pytest.raises(NotImplementedError):
+        icc.profile("RGB", "D65", "202", "PeQ")
+    rows = [(1, "RGB", "D65", "202", "709", None, "Sat"), (2, "Gra", "EER", None, None, 0.25, "Abs")]
+    got = icc.profiles(spark.createDataFrame(rows, "id long, space string, white string, primaries string, transfer string, gamma double, intent string")).collect()
+    assert [bytes(r.icc) for r in got] == [icc.profile("RGB", "D65", "202", "709", "Sat"), icc.profile("Gra", "EER", None, 0.25, "Abs")]
+
+
+@pytest.mark.parametrize("prefix", [True, False])
+def test_profiles_in_streams(prefix):
+    draw = random.Random(5)
+    table = b"curv" + bytes(4) + struct.pack(">I", 64) + b"".join(struct.pack(">H", 16 * k * k) for k in range(64))
+    all_ = [icc.profile("RGB", "D65", "DCI", "709"), icc.profile("Gra", "EER", None, 0.4), *(draw.randbytes(n) for n in (0, 1, 127, 128, 129, 131, 132, 700))]
+    for maker in (b"APPL", b"MSFT", b"SGI ", b"SUNW", b"SAME", b"none", bytes(4)):
+        size = 128 + 4 + 24 + len(table) + 20
+        head = bytearray(draw.randbytes(128))
+        head[40:44] = maker
+        all_.append(bytes(head) + struct.pack(">I4sII4sII", 2, b"rTRC", 156, len(table), b"wtpt", 156 + len(table), 20) + table + b"XYZ " + bytes(4) + draw.randbytes(12))
+        assert len(all_[-1]) == size
+    for raw in all_:
+        s = BitSink()
+        profile.write_profile(s, raw, prefix)
+        assert profile.read_profile(Bits(s.bytes())) == raw
+        if raw:
+            with pytest.raises((StreamError, EOFError)):
+                profile.read_profile(Bits(s.bytes()[: len(s.bytes()) // 2]))
+
+
+def test_commands_of_profiles():
+    """Written by hand: three curves and three points at once, planes of two and four bytes, predictions of all orders and with a stride."""
+    n = profile._number
+
+    def build(size, commands, data):
+        head = bytes((a - b) % 256 for a, b in zip(bytes(128), profile.expected_header(size, bytes(128))))
+        return profile.rebuilt(n(size) + n(len(commands)) + commands + head + data)[128:]
+
+    tags = build(128 + 4 + 72, n(7) + bytes([2 | 64 | 128]) + n(10) + n(14) + bytes([3 | 64]) + n(30) + bytes([0]), b"")
+    assert tags == struct.pack(">I", 6) + b"".join(struct.pack(">4sII", *t) for t in ((b"rTRC", 10, 14), (b"gTRC", 10, 14), (b"bTRC", 10, 14), (b"rXYZ", 30, 20), (b"gXYZ", 50, 20), (b"bXYZ", 70, 20)))
+    assert build(128 + 5, n(0) + bytes([2]) + n(5), b"acebd") == b"abcde"
+    assert build(128 + 7, n(0) + bytes([3]) + n(7), b"aebfcgd") == b"abcdefg"
+    start = bytes([1, 2, 4, 1, 2, 4, 1, 2, 4])
+    for order, want in ((0, [4, 4]), (1, [6, 8]), (2, [7, 11])):
+        assert list(build(128 + 11, n(0) + bytes([1, 9, 4, order << 2, 2]), start + bytes(2))[9:]) == want
+    assert list(build(128 + 12, n(0) + bytes([1, 9, 4, 16, 3, 3]), start + bytes([0, 1, 0]))[9:]) == [1, 3, 4]
+    for size, commands in ((129, n(0) + bytes([9])), (130, n(0) + bytes([1, 1])), (130, n(0) + bytes([4, 2, 1])), (140, n(9))):
+        with pytest.raises(StreamError):
+            build(size, commands, b"xyz")
