@@ -49,11 +49,19 @@ def feistel(x: np.ndarray, n: int, seed: int) -> np.ndarray:
     return x
 
 
+def ranged(df: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """df in n ranges of keys. A key's rows may go to several ranges, so that repeated rows are no hot task: ties go by a row's place in
+    its input file, which a task that is run again finds unchanged."""
+    tie = "__tie"
+    while any(c.lower() == tie for c in df.columns):
+        tie += "_"
+    return df.withColumn(tie, F.monotonically_increasing_id() % 4096).repartitionByRange(n, *keys, tie).drop(tie)
+
+
 def number_rows(df: DataFrame, keys: list[str]) -> DataFrame:
     """Adds row_no, gapless from 0 in the order of keys. Sorted parts are written first, so part counts and rows agree even if tasks rerun."""
     spark = df.sparkSession
-    sorted_ = df.repartitionByRange(partitions(spark), *keys)
-    part = materialise(sorted_.withColumn("__part", F.spark_partition_id()))
+    part = materialise(ranged(df, keys, partitions(spark)).withColumn("__part", F.spark_partition_id()))
     before, total = {}, 0
     for r in part.groupBy("__part").count().orderBy("__part").collect():  # a row for each partition, not for each document
         before[r["__part"]] = total

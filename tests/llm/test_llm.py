@@ -78,6 +78,16 @@ def test_sharding(spark, odd, empty):
     assert op3_sharding.shards(empty.select("doc_id"), ["doc_id"]).count() == 0
 
 
+def test_sharding_of_repeated_rows(spark):
+    """Rows that are all alike, besides a column named like the operator's own, are spread and numbered."""
+    alike = spark.range(0, 4000, 1, 4).selectExpr("7L doc_id", "id __tie")
+    sizes = [r["count"] for r in op3_sharding.ranged(alike, ["doc_id"], 8).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 4000 and max(sizes) < 1500
+    got = op3_sharding.shards(alike, ["doc_id"]).collect()
+    assert sorted(r["row_no"] for r in got) == list(range(4000)) and sorted(r["__tie"] for r in got) == list(range(4000))
+    assert len({(r["shard"], r["slot"]) for r in got}) == 4000
+
+
 def test_sharding_by_brute_force(spark, texts):
     """Rows in the order of (id, crc, size), each number walked through the permutation one by one."""
     order = sorted((i, zlib.crc32(t.encode()), len(t.encode()) + 8) for i, t in texts.items())
