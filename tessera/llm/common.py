@@ -69,6 +69,10 @@ def join_checked(left: DataFrame, right: DataFrame, on: list[str], how: str = "i
     return left.join(right.hint("merge"), on, how)
 
 
+#: Edges of a task that makes a local forest.
+EDGES = 50_000
+
+
 def _local_forest(batches):
     """Edges of one partition to a star forest with the same components."""
     root: dict[int, int] = {}
@@ -101,9 +105,9 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each partition first shrinks its edges to a forest; then large-star and small-star steps alternate until nothing changes.
     Minima are pre-aggregated, so a hub with any number of links is no hot task; the joins back are split by AQE."""
-    spark = edges.sparkSession
     e = edges.where("a <> b").select(F.col("a").cast("long"), F.col("b").cast("long"))
-    e = materialise(e.repartition(partitions(spark)).mapInPandas(_local_forest, "a long, b long").where("a <> b"))
+    # tasks by the number of edges, not by the session's partitions: many small forests shrink little, and a task in Python has its price
+    e = materialise(e.repartition(min(partitions(e.sparkSession, 2), 2 + e.count() // EDGES)).mapInPandas(_local_forest, "a long, b long").where("a <> b"))
     sign = None
     while True:
         both = e.select("a", "b").union(e.select("b", "a"))

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, map_rows, materialise, partitions, table
+from .common import components, map_rows, materialise, table
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -269,7 +269,8 @@ def _with_last(batches):
 
 
 def _per_cell(cells: DataFrame, run, ddl: str) -> DataFrame:
-    return cells.repartition(partitions(cells.sparkSession), "cell").sortWithinPartitions("cell").mapInPandas(run, ddl).distinct()
+    # no number of partitions: AQE joins small ones, as each task in Python has its price
+    return cells.repartition("cell").sortWithinPartitions("cell").mapInPandas(run, ddl).distinct()
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, p: NearDupParams) -> DataFrame:

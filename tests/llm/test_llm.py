@@ -477,3 +477,17 @@ def test_components(spark):
     got = components(spark.createDataFrame(edges, "a long, b long")).collect()
     assert {r.v: r.component for r in got} == low and len(got) == len(low)
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_forests_of_few_edges_take_few_tasks(spark, monkeypatch):
+    from tessera.llm import common
+
+    tasks, plain = [], common.materialise
+    monkeypatch.setattr(common, "materialise", lambda df: tasks.append(df.rdd.getNumPartitions()) or plain(df))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        assert common.components(spark.createDataFrame([(1, 2), (2, 3), (5, 6)], "a long, b long")).count() == 5
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert tasks[0] <= 2
