@@ -29,11 +29,28 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Rows of an Arrow batch between the JVM and Python, where the session has Spark's own default of 10,000.
+BATCH = ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000")
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Batches of texts, which both sides of a Python worker hold whole, get a tenth of Spark's default rows; a session's own number stays."""
+    name, default, ours = BATCH
+    if spark.conf.get(name) == default:
+        spark.conf.set(name, ours)
+
+
+def release(spark: SparkSession) -> None:
+    """Has the driver's JVM collect its garbage. Plans, metrics and shuffle files of the steps before go at once; else the heap grows to its limit first."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it again: lineage ends, lost executors lose nothing.
 
     The files go when the application ends."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
     df.write.parquet(path)
     jvm = spark.sparkContext._jvm
@@ -45,6 +62,7 @@ def materialise(df: DataFrame) -> DataFrame:
 def map_rows(df: DataFrame, make, ddl: str, step: int = 256) -> DataFrame:
     """Arrow in and out. make() is called once a partition and gives a function from a dict of column lists (at most `step` rows, so that
     memory stays bounded however long the texts are) to row tuples in the order of ddl. Longs keep all their bits beside nulls."""
+    small_batches(df.sparkSession)
     schema = to_arrow_schema(T.StructType.fromDDL(ddl))
 
     def run(batches):
@@ -121,6 +139,7 @@ def components(edges: DataFrame) -> DataFrame:
         if now == sign or not now[0]:
             break
         sign = now
+    release(e.sparkSession)
     top = e.groupBy("a").agg(F.min("b").alias("component"))
     every = e.select(F.col("a").alias("v")).union(e.select("b")).distinct()
     return every.join(top.withColumnRenamed("a", "v"), "v", "left").select("v", F.coalesce("component", "v").alias("component"))

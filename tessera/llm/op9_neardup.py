@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, map_rows, materialise, table
+from .common import components, map_rows, materialise, release, table
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -320,6 +320,7 @@ def link(docs: DataFrame, p: NearDupParams = NearDupParams()) -> DataFrame:
     if hot is not None:
         cells = cells.union(_deal(hot, p))
     cells = materialise(cells)
+    release(spark)
     pairs = materialise(_per_cell(cells, _forest(p), "a long, b long"))
     active = pairs.select(F.col("a").alias("rep")).union(pairs.select("b"))
     if hot is not None:
@@ -335,6 +336,7 @@ def link(docs: DataFrame, p: NearDupParams = NearDupParams()) -> DataFrame:
         more = materialise(_settle(contested, comp, texts, p))
         if more.take(1):
             comp = materialise(components(links.union(more)))
+    release(spark)
     # component by set, then by document
     named = reps.select("set_id", "rep", "first").join(comp.withColumnRenamed("v", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     smallest = named.groupBy("component").agg(F.min("first").alias("smallest"))

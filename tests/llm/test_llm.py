@@ -491,3 +491,17 @@ def test_forests_of_few_edges_take_few_tasks(spark, monkeypatch):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert tasks[0] <= 2
+
+
+def test_batches_of_texts_are_small(spark):
+    from tessera.llm import common
+
+    name, default, ours = common.BATCH
+    before = spark.conf.get(name)
+    try:
+        for set_to, then in ((default, ours), ("777", "777")):  # a session's own number stays
+            spark.conf.set(name, set_to)
+            sizes = common.map_rows(spark.range(3000).coalesce(1), lambda: lambda cols: [(len(cols["id"]),)], "n long", 1 << 20).collect()
+            assert spark.conf.get(name) == then and max(r.n for r in sizes) == int(then)
+    finally:
+        spark.conf.set(name, before)
