@@ -14,9 +14,9 @@ import base64
 import hashlib
 import re
 import struct
-from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -91,10 +91,14 @@ class BpeCodec:
         import sentencepiece
 
         self.tokens, self.rank = tokens, {t: i for i, t in enumerate(tokens)}
-        self.names = [str(i).encode() for i in range(len(tokens))]
+        self.kind = np.dtype("<u2" if len(tokens) < 1 << 16 else "<u4")  # ids are remembered as bytes of this kind
+        self.single = [i.to_bytes(self.kind.itemsize, "little") for i in range(len(tokens))]
+        self.contents = pa.array(tokens, pa.large_binary())
+        self.names = pa.array([b"%d," % i for i in range(len(tokens))], pa.large_binary())
         self.spm = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.cut = regex.compile(pattern).findall
-        self.letters = str.maketrans({chr(b): c for b, c in enumerate(byte_letters())})
+        # a byte that is in no text's UTF-8 sets pre-tokens apart, as a character that is in no piece
+        self.letters = str.maketrans({chr(b): c for b, c in enumerate(byte_letters())} | {"\xff": "\u2028"})
         self.known: dict = {}
         self.older: dict = {}
 
@@ -104,61 +108,75 @@ class BpeCodec:
         first, *rest = text.split(" ")
         return [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
 
-    def _merge(self, cuts: list[str]) -> dict[str, list[int]]:
-        """Pre-tokens to ids. A vocabulary entry is one token; the rest goes to sentencepiece many at a time, set apart by a character that is in no piece."""
-        out, rest, mapped = {}, [], []
+    def _merge(self, cuts) -> dict[str, bytes]:
+        """Pre-tokens to ids. A vocabulary entry is one token; the rest goes to sentencepiece many at a time."""
+        out, rest, mapped, rank, single = {}, [], [], self.rank.get, self.single
         for cut in cuts:
             raw = cut.encode("utf-8", "surrogatepass")
-            rank = self.rank.get(raw)
-            if rank is not None:
-                out[cut] = [rank]
+            at = rank(raw)
+            if at is not None:
+                out[cut] = single[at]
             else:
                 rest.append(cut)
-                mapped.append(raw.decode("latin-1"))
-        unknown = len(self.tokens)
-        for at in range(0, len(rest), 64):
-            joined = "\u2028".join(mapped[at : at + 64]).translate(self.letters)
-            ids = self.spm.encode(joined, out_type=int)
-            ids.append(unknown)
-            start = 0
-            for cut in rest[at : at + 64]:
-                end = ids.index(unknown, start)
+                mapped.append(raw)
+        width = self.kind.itemsize
+        for at in range(0, len(rest), 256):
+            found = np.array(self.spm.encode(b"\xff".join(mapped[at : at + 256]).decode("latin-1").translate(self.letters), out_type=int), dtype=np.int64)
+            ends = (np.append(np.flatnonzero(found == len(self.tokens)), len(found)) * width).tolist()
+            ids, start = found.astype(self.kind).tobytes(), 0
+            for cut, end in zip(rest[at : at + 256], ends, strict=True):
                 out[cut] = ids[start:end]
-                start = end + 1
+                start = end + width
         return out
 
-    def _learn(self, pieces: list[str]) -> dict:
-        """Piece to (count, decimal ids joined by commas, decoded bytes)."""
-        cuts = [(p, [p] if p[1:].isalpha() and p[0] == " " else self.cut(p)) for p in pieces]
-        merged = self._merge(list({c for _, cs in cuts for c in cs}))
-        out = {}
-        for p, cs in cuts:
-            ids = merged[cs[0]] if len(cs) == 1 else list(chain.from_iterable(map(merged.__getitem__, cs)))
-            out[p] = (len(ids), b",".join([self.names[i] for i in ids]), b"".join([self.tokens[i] for i in ids]))
+    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
+        """Pieces to ids."""
+        parts = {p: self.cut(p) for p in pieces if not (p[1:].isalpha() and p[0] == " ")}
+        whole = pieces.difference(parts)
+        merged = self._merge(whole.union(*parts.values()))
+        out = {p: merged[p] for p in whole}
+        for p, cuts in parts.items():
+            out[p] = merged[cuts[0]] if len(cuts) == 1 else b"".join(map(merged.__getitem__, cuts))
         return out
 
-    def entries(self, texts: list) -> list[list]:
-        """For each text the (count, decimal ids, decoded bytes) of its pieces."""
+    def _encoded(self, texts: list) -> list[bytes]:
+        """The ids of each text, as bytes."""
         cut = [self._pieces(t) if t else [] for t in texts]
         known, older = self.known, self.older
-        new = {p for ps in cut for p in ps if p not in known}
-        for p in [p for p in new if p in older]:
+        new = set()
+        for ps in cut:
+            new.update(set(ps).difference(known))
+        for p in new.intersection(older):
             known[p] = older[p]
-            new.discard(p)
-        made = self._learn(list(new)) if new else {}
-        long = {p: e for p, e in made.items() if len(p) > CACHE_LENGTH}
-        known.update(made if not long else {p: e for p, e in made.items() if p not in long})
-        look = {**known, **long} if long else known
-        out = [list(map(look.__getitem__, ps)) for ps in cut]
+        made = self._learn(new.difference(known))
+        long = {p for p in made if len(p) > CACHE_LENGTH}
+        known.update(made)
+        out = [b"".join(map(known.__getitem__, ps)) for ps in cut]
+        for p in long:
+            del known[p]
         if len(known) > CACHE:
             self.known, self.older = {}, known
         return out
 
-    def encode_batch(self, texts: list) -> list[list[int]]:
-        return [np.fromstring(b",".join([e[1] for e in es]).decode(), dtype=np.int32, sep=",") for es in self.entries(texts)]
+    def encode_batch(self, texts: list) -> list[np.ndarray]:
+        return [np.frombuffer(x, self.kind).astype(np.int32) for x in self._encoded(texts)]
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+    @staticmethod
+    def _joined(of: pa.Array, ids: list[np.ndarray]) -> list[memoryview]:
+        """The ids' entries one behind the other, for each array of ids."""
+        if not any(map(len, ids)):
+            return [memoryview(b"")] * len(ids)
+        found = of.take(pa.array(np.concatenate(ids)))
+        at = np.frombuffer(found.buffers()[1], np.int64)[np.cumsum([0, *map(len, ids)])].tolist()
+        data = memoryview(found.buffers()[2])
+        return [data[lo:hi] for lo, hi in zip(at[:-1], at[1:])]
+
+    def texts_of(self, ids: list[np.ndarray]) -> list[memoryview]:
+        """Decimal ids joined by commas."""
+        return [x[:-1] for x in self._joined(self.names, ids)]
+
+    def decode_batch(self, ids: list[np.ndarray]) -> list[memoryview]:
+        return self._joined(self.contents, ids)
 
 
 def codec(path: str, pattern: str):
@@ -197,9 +215,9 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         bpe = make()
 
         def rows_of(cols):
-            for doc_id, es in zip(cols["doc_id"], bpe.entries(cols["text"])):
-                ids, content = b",".join([e[1] for e in es]), b"".join([e[2] for e in es])
-                yield doc_id, sum([e[0] for e in es]), hashlib.sha256(ids).hexdigest(), hashlib.sha256(content).hexdigest()
+            ids = bpe.encode_batch(cols["text"])
+            for doc_id, x, written, content in zip(cols["doc_id"], ids, bpe.texts_of(ids), bpe.decode_batch(ids)):
+                yield doc_id, len(x), hashlib.sha256(written).hexdigest(), hashlib.sha256(content).hexdigest()
 
         return rows_of
 

@@ -505,3 +505,20 @@ def test_batches_of_texts_are_small(spark):
             assert spark.conf.get(name) == then and max(r.n for r in sizes) == int(then)
     finally:
         spark.conf.set(name, before)
+
+
+def test_bpe_remembers_bytes_and_joins_batches():
+    import public_tokenizers as P
+    import tiktoken
+
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    bpe = op5_bpe.codec(path, P.PATTERN)()
+    every = ["", None, " ".join(f"qx{i}zzvk\xff{i}" for i in range(700)), "\xff  \n", "b" * 70 + " c"]  # more pre-tokens than one call takes
+    ids = bpe.encode_batch(every)
+    assert [x.tolist() for x in ids] == [enc.encode_ordinary(t or "") for t in every]
+    assert [bytes(x) for x in bpe.texts_of(ids)] == [",".join(map(str, x.tolist())).encode() for x in ids]
+    assert [bytes(x) for x in bpe.decode_batch(ids)] == [(t or "").encode() for t in every]
+    assert all(type(x) is bytes for x in bpe.known.values()) and max(map(len, bpe.known)) <= op5_bpe.CACHE_LENGTH
+    assert [bytes(x) for x in bpe.decode_batch(bpe.encode_batch(["", None]))] == [b"", b""]
