@@ -91,16 +91,19 @@ def dequantised(start: tuple, deltas: list, dct: list, adjustment: int, y_to_x:
 
 
 def curve(points: np.ndarray) -> np.ndarray:
-    """Sixteen points of a centripetal Catmull-Rom curve for each control point but the last, and that one. Neighbours must differ."""
-    if len(points) < 2:
+    """Sixteen points of a centripetal Catmull-Rom curve for each control point but the last, and that one. Neighbours must differ. Curves of
+    as many control points may be stacked along leading axes."""
+    if points.shape[-2] < 2:
         return points
-    ends = np.vstack([2 * points[0] - points[1], points, 2 * points[-1] - points[-2]])
-    knots = np.sqrt(np.hypot(*np.diff(ends, axis=0).T))  # parameter lengths of the pieces
+    ends = np.concatenate([2 * points[..., :1, :] - points[..., 1:2, :], points, 2 * points[..., -1:, :] - points[..., -2:-1, :]], axis=-2)
+    apart = np.diff(ends, axis=-2)
+    knots = np.sqrt(np.hypot(apart[..., 0], apart[..., 1]))  # parameter lengths of the pieces
     out = []
-    for i in range(1, len(ends) - 2):
-        p = ends[i - 1 : i + 3]
-        t = np.concatenate([[0.0], np.cumsum(knots[i - 1 : i + 2])])
-        u = (t[1] + np.arange(POINTS) / POINTS * (t[2] - t[1]))[:, None]
+    for i in range(1, ends.shape[-2] - 2):
+        p = [ends[..., k : k + 1, :] for k in range(i - 1, i + 3)]
+        t = np.concatenate([np.zeros((*knots.shape[:-1], 1)), np.cumsum(knots[..., i - 1 : i + 2], axis=-1)], axis=-1)
+        t = [t[..., k, None, None] for k in range(4)]
+        u = t[1] + (np.arange(POINTS) / POINTS)[:, None] * (t[2] - t[1])
 
         def between(a, b, lo, hi, u=u):
             return a + (b - a) * ((u - lo) / (hi - lo))
@@ -108,9 +111,9 @@ def curve(points: np.ndarray) -> np.ndarray:
         a = [between(p[k], p[k + 1], t[k], t[k + 1]) for k in range(3)]
         b = [between(a[k], a[k + 1], t[k], t[k + 2]) for k in range(2)]
         piece = between(b[0], b[1], t[1], t[2])
-        piece[0] = p[1]
+        piece[..., :1, :] = p[1]
         out.append(piece)
-    return np.vstack([*out, points[-1:]])
+    return np.concatenate([*out, points[..., -1:, :]], axis=-2)
 
 
 def evenly(points: np.ndarray, step: float = STEP) -> tuple[np.ndarray, np.ndarray]:
@@ -132,7 +135,12 @@ def continuous(coefficients: np.ndarray, t: np.ndarray) -> np.ndarray:
 def segments(start: tuple, deltas: list, dct: list, adjustment: int, y_to_x: float = 0.0, y_to_b: float = 1.0) -> np.ndarray:
     """(x, y, three colours, sigma, intensity) of each point to draw along a quantised spline."""
     control, series = dequantised(start, deltas, dct, adjustment, y_to_x, y_to_b)
-    points, gone = evenly(curve(control))
+    return drawn(curve(control), series)
+
+
+def drawn(points: np.ndarray, series: np.ndarray) -> np.ndarray:
+    """segments() of a curve and the coefficients along it."""
+    points, gone = evenly(points)
     length = (len(points) - 2) * STEP + gone[-1]
     if length <= 0:
         return np.zeros((0, 7))
@@ -140,16 +148,50 @@ def segments(start: tuple, deltas: list, dct: list, adjustment: int, y_to_x: flo
     return np.column_stack([points, continuous(series, t).T, gone])
 
 
-def p17_spline_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A spline for each customer, whose start and bends follow from the key: the points to draw."""
+def round6(x: np.ndarray) -> np.ndarray:
+    """Six places, as Python rounds: what the product brings near a half goes through round()."""
+    y = x * 1e6
+    out = np.rint(y) / 1e6
+    near = np.abs(np.abs(y - np.floor(y)) - 0.5) < 1e-4
+    out[near] = [round(v, 6) for v in x[near].tolist()]
+    return out
 
-    def rows_of(cols):
-        for i in cols["c_custkey"]:
-            dct = [[(i * (c + 3) * (k + 1)) % 41 - 20 for k in range(32)] for c in range(4)]
-            for n, s in enumerate(segments((i % 90, i % 70), [((i * k) % 23 + 1, (i + k) % 19 - 9) for k in range(1, 4 + i % 3)], dct, i % 5 - 2)):
-                yield i, n, *[round(float(x), 6) for x in s]
 
-    return map_rows(views.read(spark, sf_dir, "customer").select("c_custkey"), rows_of, "id long, n int, x double, y double, c0 double, c1 double, c2 double, sigma double, intensity double", 16)
+#: Splines of a batch, and of a task at least.
+BATCH, TASK = 256, 5000
+
+
+def p17_spline_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A spline for each customer, whose start and bends follow from the key: the points to draw. Splines of as many bends are curved together."""
+    ddl = "id long, n int, x double, y double, c0 double, c1 double, c2 double, sigma double, intensity double"
+
+    def splines(ids):
+        """(place among ids, points to draw) of all splines."""
+        for more in range(3):
+            at = np.flatnonzero(ids % 3 == more)
+            i, k = ids[at][:, None], np.arange(1, 4 + more)
+            deltas = np.stack([(i * k) % 23 + 1, (i + k) % 19 - 9], axis=-1)
+            start = np.stack([i % 90, i % 70], axis=-1)
+            control = np.cumsum(np.concatenate([start, np.cumsum(deltas, axis=1)], axis=1), axis=1).astype(float)
+            dct = (i[:, :, None] * np.arange(3, 7)[:, None] * np.arange(1, 33)) % 41 - 20
+            for j, points, n, c in zip(at.tolist(), curve(control) if len(at) else [], ids[at].tolist(), dct):
+                yield j, drawn(points, dequantised((0, 0), [], c, n % 5 - 2)[1])
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for lo in range(0, batch.num_rows, BATCH):
+                ids = batch.column(0).slice(lo, BATCH).to_numpy(zero_copy_only=False).astype(np.int64)
+                found = [x for _, x in sorted(splines(ids), key=lambda x: x[0])]
+                size = np.array([len(x) for x in found])
+                n = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                columns = [np.repeat(ids, size), n.astype(np.int32), *round6(np.concatenate(found).T)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=ddl.replace(",", "").split()[::2])
+
+    keys = views.read(spark, sf_dir, "customer").select("c_custkey")
+    # a key makes over a hundred rows, so files are no measure of the tasks
+    return keys.repartition(min(4 * spark.sparkContext.defaultParallelism, 1 + keys.count() // TASK)).mapInArrow(run, ddl)
 
 
 QUERIES = {"p18_noise": p18_noise, "p17_spline_geometry": p17_spline_geometry}

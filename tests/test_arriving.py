@@ -71,6 +71,27 @@ def test_splines():
     assert noise.segments((5, 5), [], np.zeros((4, 32)).tolist(), 0).shape == (0, 7)
 
 
+def test_spline_geometry_in_batches_equals_single_splines(spark):
+    """Rows to the last bit, and tasks by the number of keys, though the file is one."""
+    got = {}
+    df = QUERIES["p17_spline_geometry"](spark, SF)
+    for r in df.collect():
+        got.setdefault(r.id, {})[r.n] = tuple(r)[2:]
+    ids = [r.c_custkey for r in spark.read.parquet(f"{SF}/customer.parquet").collect()]
+    assert sorted(got) == sorted(ids)
+    for i in ids[:60]:
+        dct = [[(i * (c + 3) * (k + 1)) % 41 - 20 for k in range(32)] for c in range(4)]
+        rows = noise.segments((i % 90, i % 70), [((i * k) % 23 + 1, (i + k) % 19 - 9) for k in range(1, 4 + i % 3)], dct, i % 5 - 2)
+        assert [got[i][n] for n in range(len(got[i]))] == [tuple(round(float(x), 6) for x in s) for s in rows]
+    x = np.array([0.0078125, -0.0078125, 2.5e-7, 1.0000005, 1.0000015, -3.4999995])
+    assert noise.round6(x).tolist() == [round(v, 6) for v in x.tolist()]
+
+
+def test_splines_of_many_keys_take_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(noise, "TASK", 40)
+    assert QUERIES["p17_spline_geometry"](spark, SF).rdd.getNumPartitions() > 1
+
+
 def test_headers_in_chunks(spark):
     files = {r.id: bytes(r.bytes) for r in streams._written(spark.read.parquet(f"{SF}/customer.parquet")).collect()}
     got = {}
