@@ -9,8 +9,8 @@ among the class, each from the product with an output embedding plus a bias. Bot
 Word counts cover all training documents. Each document is cut into units once; training and scoring read the units. Training starts on a
 sample of about `warm_docs` documents drawn by a hash, at the driver. Then all training documents are dealt by the same hash to shards whose
 number follows from the token count; a shard is gone through in the order of the hash from the warm start, and the parameters are averaged
-by targets. So neither files nor partitions change a score. Of each document one in `stride` positions is a target of training, from a start
-that its hash gives; every document takes part. Exact repeats of an id and text train once (counts take them all).
+by targets. So neither files nor partitions change a score. Every position of every training document is a target. Exact repeats of an id
+and text train once (counts take them all).
 The frequent words' counts, at most `head`, go to the workers; rarer words meet their counts in a shuffled join, pre-aggregated by document.
 
 Defined results: null text counts as empty and is one end token. Rows with a null id are scored (held_out false) but not learned from.
@@ -49,7 +49,6 @@ class LmParams:
     rate: float = 0.2
     warm_docs: int = 3000  # bound on the driver's sample
     warm_epochs: int = 4
-    stride: int = 4  # one in so many positions of a document is a target in the shards
     shard_tokens: int = 4_000_000  # training tokens of a shard, about
 
     @property
@@ -201,13 +200,6 @@ class LogBilinear:
         self.a[:, -1] = np.log(by_class / mass.sum())
         self.q[:, -1] = np.log(mass / np.repeat(by_class, self.p.width)[: len(mass)])
 
-    def some(self, units: np.ndarray, first: int, step: int) -> tuple[np.ndarray, np.ndarray]:
-        """(contexts, targets) of a text's positions from first by step."""
-        n = self.p.context
-        line = np.concatenate([np.full(n, self.p.units, np.int32), units])
-        at = np.arange(first + n, len(line), step)
-        return np.stack([line[at - k - 1] for k in range(n)], axis=1), line[at]
-
     def contexts(self, docs_units: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """(contexts, targets) of whole texts; the nearest word's unit comes first."""
         n, start = self.p.context, self.p.units
@@ -283,14 +275,22 @@ class LogBilinear:
         g2[rows] += grad * grad
         par[rows] -= np.float32(self.p.rate) * grad / (np.sqrt(g2[rows]) + np.float32(1e-6))
 
+    def by_context(self) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+        """For each place of a context: what each of its units adds to the classes' scores, the greatest of that, and the exponentials less the greatest."""
+        adds = [(self.r * self.c[j]).astype(np.float64) @ self.a[:, :-1].T.astype(np.float64) for j in range(self.p.context)]
+        adds[0] += self.a[:, -1]
+        tops = [x.max(axis=1) for x in adds]
+        return adds, tops, [np.exp(x - top[:, None]) for x, top in zip(adds, tops)]
+
     def log10(self, ctx: np.ndarray, y: np.ndarray, block: int = 4096) -> np.ndarray:
-        """Normalised log10 probabilities of the targets: of their classes, and of the units class by class. Products are in double precision,
-        so that a score doesn't depend on the rows beside it; blocks stay in the processor's cache."""
+        """Normalised log10 probabilities of the targets: of their classes, from sums of products of the context units' exponentials, and of the
+        units class by class. Products are in double precision, so that a score doesn't depend on the rows beside it; blocks stay in the
+        processor's cache."""
         w, out = self.p.width, np.empty(len(y))
-        classes = np.ascontiguousarray(self.a.T.astype(np.float64))
+        adds, tops, exps = self.by_context()
         inner = [np.ascontiguousarray(self.q[k * w : k * w + w].T.astype(np.float64)) for k in range(self.p.classes)]
         h, each = np.ones((min(block, len(y)), self.p.dims + 1)), np.arange(block)
-        room = np.empty((min(block, len(y)), max(w, self.p.classes)))
+        room = np.empty((min(block, len(y)), w))
 
         def parts(x, by, at):
             """Scores at the places, and the logs of the rows' sums of exponentials."""
@@ -300,17 +300,30 @@ class LogBilinear:
             found = z[each[: len(z)], at]
             return found, np.log(np.exp(z, out=z).sum(axis=1))
 
+        def of_classes(cx, k):
+            """Log probabilities of the classes."""
+            places = [cx[:, j] for j in range(self.p.context)]
+            rows = exps[0][places[0]]
+            for x, at in zip(exps[1:-1], places[1:-1]):
+                rows *= x[at]
+            sums = np.einsum("ij,ij->i", rows, exps[-1][places[-1]]) if len(places) > 1 else rows.sum(axis=1)
+            logs = np.log(np.maximum(sums, 1e-300)) + sum(top[at] for top, at in zip(tops, places))
+            for i in np.flatnonzero(sums < 1e-250).tolist():  # the units' greatest lie too far apart for products
+                z = sum(x[at[i]] for x, at in zip(adds, places))
+                logs[i] = z.max() + np.log(np.exp(z - z.max()).sum())
+            return sum(x[at, k] for x, at in zip(adds, places)) - logs
+
         for i in range(0, len(y), block):
             by_class = np.argsort(y[i : i + block], kind="stable")
-            t, n = y[i : i + block][by_class], len(by_class)
+            t, n, cx = y[i : i + block][by_class], len(by_class), ctx[i : i + block][by_class]
             k = t // w
-            h[:n, :-1] = self.embedded(ctx[i : i + block][by_class])
-            found, total = parts(h[:n], classes, k)
+            h[:n, :-1] = self.embedded(cx)
+            found = of_classes(cx, k)
             first = _starts(k)
             for lo, hi in zip(first.tolist(), [*first[1:].tolist(), n]):
                 more, log = parts(h[lo:hi], inner[k[lo]], t[lo:hi] - k[lo] * w)
                 found[lo:hi] += more - log
-            out[i + by_class] = found - total
+            out[i + by_class] = found
         return out / math.log(10)
 
 
@@ -435,11 +448,15 @@ def fit(encoded: DataFrame, stats: Statistics, units: Units) -> LogBilinear:
             blocks = [x.tobytes() for x in np.split(mine.flat, range(1 << 16, len(mine.flat), 1 << 16))]
             return pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int64()), pa.array([shard] * len(blocks), pa.int64()), pa.array([seen] * len(blocks), pa.int64()), pa.array(blocks, pa.binary())], names=["i", "shard", "seen", "x"])
 
-        shard, held, n_held, seen, last = None, [], 0, 0, None
+        shard, held, n_held, seen, last, rest = None, [], 0, 0, None, model.contexts([])
 
-        def learn():
-            cx, t = (np.concatenate(x) for x in zip(*held))
-            mine.train(cx, t, noise, draw, g2)
+        def learn(every=False):
+            """Trains on whole batches, or on all that is held."""
+            nonlocal rest
+            cx, t = (np.concatenate(x) for x in zip(rest, mine.contexts(held)))
+            upto = len(t) if every else len(t) // p.batch * p.batch
+            mine.train(cx[:upto], t[:upto], noise, draw, g2)
+            rest = cx[upto:], t[upto:]
             held.clear()
 
         for batch in batches:
@@ -448,21 +465,19 @@ def fit(encoded: DataFrame, stats: Statistics, units: Units) -> LogBilinear:
                     continue
                 last = (doc_id, h)
                 if s != shard:
-                    if held:
-                        learn()
                     if seen:
+                        learn(every=True)
                         yield done(shard, mine, seen)
                     shard, n_held, seen = s, 0, 0
                     mine, g2, draw = LogBilinear(p, flat.copy()), start2.copy(), np.random.default_rng([9, s])
-                held.append(mine.some(np.frombuffer(u, kind), h % p.stride, p.stride))
-                n_held += len(held[-1][1])
-                seen += len(held[-1][1])
+                held.append(np.frombuffer(u, kind))
+                n_held += len(held[-1])
+                seen += len(held[-1])
                 if n_held >= p.batch:
                     learn()
-                    n_held = 0
-        if held:
-            learn()
+                    n_held = len(rest[1])
         if seen:
+            learn(every=True)
             yield done(shard, mine, seen)
 
     def mean(pdf):

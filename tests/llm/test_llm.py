@@ -522,3 +522,36 @@ def test_bpe_remembers_bytes_and_joins_batches():
     assert [bytes(x) for x in bpe.decode_batch(ids)] == [(t or "").encode() for t in every]
     assert all(type(x) is bytes for x in bpe.known.values()) and max(map(len, bpe.known)) <= op5_bpe.CACHE_LENGTH
     assert [bytes(x) for x in bpe.decode_batch(bpe.encode_batch(["", None]))] == [b"", b""]
+
+
+def test_lm_trains_on_every_position(spark, monkeypatch):
+    """In the shards, each token of each training document is a target once, in batches that lose no rest."""
+    seen = []
+    plain = op10_lm.LogBilinear.train
+    monkeypatch.setattr(op10_lm.LogBilinear, "train", lambda self, ctx, y, *rest: seen.append(len(y)) or plain(self, ctx, y, *rest))
+    p = op10_lm.LmParams(own=20, endings=4, dims=4, warm_docs=0, batch=64)
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * k) % 17}" for k in range(1, 9 + i % 40)), False) for i in range(60)], "doc_id long, text string, held_out boolean")
+    stats = op10_lm.gather(docs, p)
+    units = op10_lm.units_of(stats, p)
+    encoded = op10_lm.materialise(op10_lm.encode(docs, units))
+    blocks = []
+    # the shards' function runs here, over their rows in order
+    monkeypatch.setattr(type(encoded), "mapInArrow", lambda self, run, ddl: blocks.extend(run(self.toArrow().to_batches())) or spark.createDataFrame([], ddl))
+    op10_lm.fit(encoded, stats, units)
+    assert sum(seen) == stats.tokens and sum(b.column("seen")[0].as_py() for b in blocks) == stats.tokens
+
+
+def test_lm_class_scores_far_apart():
+    """Products of exponentials that vanish give way to plain sums."""
+    p = op10_lm.LmParams(own=6, endings=3, dims=4)
+    m = op10_lm.LogBilinear(p)
+    m.r[:] = 0
+    m.r[0, 0], m.r[1, 1] = 30, 30
+    m.a[:] = 0
+    m.a[0, 0], m.a[1, 1] = 30, 30
+    ctx = np.array([[0, 1]] * p.units, dtype=np.int32)
+    got = m.log10(ctx, np.arange(p.units))
+    z = (m.embedded(ctx[:1]) @ m.a[:, :-1].T + m.a[:, -1]).astype(float)[0]
+    of_class = z - z.max() - np.log(np.exp(z - z.max()).sum())
+    assert np.isfinite(got).all() and np.allclose(np.log10(np.add.reduceat(10.0 ** got, np.arange(0, p.units, p.width)))[:2], of_class[:2] / np.log(10), atol=1e-6)
+    assert abs((10.0 ** got).sum() - 1) < 1e-6
