@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_checked, map_rows, materialise, table
+from .common import join_checked, map_rows, materialise, release, table
 
 _WORDS = re.compile(r"[^\W\d_]+").findall
 CACHE = 200_000
@@ -172,6 +172,7 @@ def fit(docs: DataFrame, labels: DataFrame, p: ToxicityParams = ToxicityParams()
     every = sorted(set().union(*kept))
     own = F.array_intersect("at", F.array(*map(F.lit, every))) if every else F.slice("at", 1, 0)
     got = rows.select("doc_id", "fold", *cats, own.alias("at")).toPandas().sort_values("doc_id", kind="stable")
+    release(docs.sparkSession)  # Python's part of the driver's memory is largest from here on
     y = got[cats].to_numpy(dtype=float).reshape(len(got), len(cats))
     weight = np.where(y[:, -1] == 1, 1 / share[1], 1 / share[0]) if len(got) else np.zeros(0)
     return fit_chain([np.asarray(a, dtype=np.int64) for a in got["at"]], y, weight, got["fold"].to_numpy(), kept, p)

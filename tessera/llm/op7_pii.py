@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drawn, map_rows, table
+from .common import drawn, map_rows, release, table
 
 KINDS = ("email", "ip", "card", "phone")
 _ANY, _DIGIT = re.compile(r"[0-9@]").search, re.compile(r"[0-9]").search
@@ -336,6 +336,7 @@ def fit(docs: DataFrame, p: PiiParams = PiiParams()) -> PiiModel:
     """docs: a column text."""
     sample = drawn(docs.select("text").where("text is not null and text <> ''"), "op7", p.max_train_docs)
     got = map_rows(sample, _examples(11), "g long, kind string, y double, w double, x array<double>").toPandas()
+    release(docs.sparkSession)  # Python's part of the driver's memory is largest from here on
     if not len(got) or not got["y"].any():
         return PiiModel(p)
     x, y = np.array(got["x"].tolist()), got["y"].to_numpy()

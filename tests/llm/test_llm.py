@@ -464,6 +464,15 @@ def test_language_model_units_follow_the_corpus():
     assert right.mean() > wrong.mean() + 0.5
 
 
+def test_release_trims_the_drivers_native_heap(spark):
+    from tessera.llm.common import release
+
+    runtime = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getRuntimeMXBean()
+    if int(str(runtime.getSpecVersion()).split(".")[0]) < 17:
+        pytest.skip("no such command")
+    assert re.search(r"Trim native heap|[Nn]ot available", release(spark))
+
+
 def test_components(spark):
     from tessera.llm.common import components
 
