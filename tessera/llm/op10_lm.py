@@ -82,7 +82,7 @@ def _count():
     seen: Counter = Counter()
 
     def flush():
-        out = list(seen.items())
+        out = list(seen), list(seen.values())
         seen.clear()
         return out
 
@@ -98,8 +98,8 @@ def count_words(docs: DataFrame) -> DataFrame:
         seen, flush = _count()
 
         def out():
-            rows = flush()
-            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], pa.binary()), pa.array([c for _, c in rows], pa.int64())], names=["word", "c"])
+            words, counts = flush()
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(counts, pa.int64())], names=["word", "c"])
 
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -134,12 +134,28 @@ class Vocabulary:
         return at, unit
 
 
-def _row_sums(at: np.ndarray, grad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct rows of at, and the sums of their gradients."""
-    order = np.argsort(at, kind="stable")
-    line = at[order]
-    first = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
-    return line[first], np.add.reduceat(grad[order], first, axis=0)
+def _order(x: np.ndarray) -> np.ndarray:
+    """A stable order; numbers of 16 bits are sorted by radix."""
+    return np.argsort(x.astype(np.uint16) if len(x) and x.max() < 1 << 16 else x, kind="stable")
+
+
+def _run_sums(x: np.ndarray, order: np.ndarray, first: np.ndarray, short: int = 24) -> np.ndarray:
+    """Sums of the rows x[order] over runs that begin at `first`: all first rows, then all second ones and so on; what a run has beyond
+    `short` rows is summed by itself."""
+    size = np.diff(first, append=len(order))
+    longest = np.argsort(-size, kind="stable")
+    begin, upto = first[longest], np.searchsorted(-size[longest], -np.arange(1, short + 1), side="right")
+    out = x.take(order[begin], axis=0)
+    for k in range(1, short):
+        if not (m := upto[k]):
+            break
+        out[:m] += x.take(order[begin[:m] + k], axis=0)
+    for i in range(np.count_nonzero(size > short)):
+        rest = order[begin[i] + short : begin[i] + size[longest[i]]]
+        out[i] += np.ones(len(rest), x.dtype) @ x.take(rest, axis=0)
+    back = np.empty_like(out)
+    back[longest] = out
+    return back
 
 
 def _starts(x: np.ndarray) -> np.ndarray:
@@ -174,6 +190,19 @@ class Noise:
         return np.clip(at, (kinds * w)[:, None], np.minimum(kinds * w + w, self.p.units)[:, None] - 1)
 
 
+@dataclass
+class Tables:
+    """For each place of a context: what each of its units adds to the classes' scores, the greatest of that, the exponentials less the
+    greatest, and the scaled embeddings. Then the classes' output embeddings, and a bound on a unit's score."""
+
+    adds: list[np.ndarray]
+    tops: list[np.ndarray]
+    exps: list[np.ndarray]
+    scaled: list[np.ndarray]
+    inner: list[np.ndarray]
+    reach: float
+
+
 class LogBilinear:
     """Parameters in one flat vector: context embeddings (with one for the text's start), output embeddings of units and classes, each with
     its bias as the last column, and position scales."""
@@ -211,17 +240,23 @@ class LogBilinear:
         at = np.arange(int(size.sum())) + n * np.repeat(np.arange(1, len(size) + 1), size)
         return np.stack([line[at - k - 1] for k in range(n)], axis=1), line[at]
 
-    def embedded(self, ctx: np.ndarray, emb: list | None = None) -> np.ndarray:
-        """Context vectors."""
-        for j in range(self.p.context):
-            part = np.multiply(self.r[ctx[:, j]] if emb is None else emb[j], self.c[j])
-            both = np.add(both, part, out=part) if j else part
+    def embedded(self, ctx: np.ndarray, scaled: list[np.ndarray] | None = None) -> np.ndarray:
+        """Context vectors. scaled: the embeddings for each place, if made before."""
+        scaled = scaled or [self.r * self.c[j] for j in range(self.p.context)]
+        both = scaled[0].take(ctx[:, 0], axis=0)
+        for j in range(1, self.p.context):
+            both += scaled[j].take(ctx[:, j], axis=0)
         return both
 
     def hidden(self, ctx: np.ndarray, emb: list) -> np.ndarray:
         """Context vectors, with a one for the bias."""
-        h = np.ones((len(ctx), self.p.dims + 1), dtype=np.float32)
-        h[:, :-1] = self.embedded(ctx, emb)
+        h = np.empty((len(ctx), self.p.dims + 1), dtype=np.float32)
+        h[:, -1] = 1
+        for j, x in enumerate(emb):
+            if j:
+                h[:, :-1] += x * self.c[j]
+            else:
+                np.multiply(x, self.c[j], out=h[:, :-1])
         return h
 
     def train(self, ctx: np.ndarray, y: np.ndarray, noise: Noise, draw: np.random.Generator, grad2: np.ndarray) -> None:
@@ -232,81 +267,110 @@ class LogBilinear:
 
     def _step(self, ctx, y, noise, draw, grad2) -> None:
         p, (gr, gq, ga, gc) = self.p, grad2
-        w, n = p.width, p.context
-        by_unit = np.argsort(y, kind="stable")  # units of a class come together
+        w, n, inner = p.width, p.context, p.inner
+        by_unit = _order(y)  # units of a class come together
         cx, t = ctx[by_unit], y[by_unit]
         k = t // w
         m = np.float32(1 / len(t))
-        emb = [self.r[cx[:, j]] for j in range(n)]
+        emb = [self.r.take(cx[:, j], axis=0) for j in range(n)]
         h = self.hidden(cx, emb)
         first = _starts(k)
-        kinds = k[first]
-        # classes
+        kinds, size = k[first], np.diff(first, append=len(k))
+        spans = list(zip(first.tolist(), (first + size).tolist()))
+        # noise classes
         some = np.searchsorted(noise.class_upto, draw.random(p.noise) * noise.class_upto[-1], side="right").clip(0, p.classes - 1)
-        a_k = self.a[k]
-        dp = (_slope(np.einsum("ij,ij->i", h, a_k) - noise.class_shift[k]) - 1) * m
-        dn = _slope(h @ self.a[some].T - noise.class_shift[some]) * m
+        dn = _slope(h @ self.a[some].T - noise.class_shift[some])
+        dn *= m
         dh = dn @ self.a[some]
-        dh += np.multiply(dp[:, None], a_k, out=a_k)
-        on_a = np.concatenate([np.add.reduceat(dp[:, None] * h, first, axis=0), dn.T @ h])
-        # units among their class
+        # a class: its noise units, and itself
         at = noise.inside(kinds, draw)
-        q_t = self.q[t]
+        rows = np.concatenate([self.q[at], self.a[kinds][:, None]], axis=1)
+        dk = np.empty((len(t), inner + 1), dtype=np.float32)
+        for x, (lo, hi) in zip(rows, spans):
+            np.matmul(h[lo:hi], x.T, out=dk[lo:hi])
+        dk -= np.repeat(np.concatenate([noise.shift[at], noise.class_shift[kinds][:, None]], axis=1), size, axis=0)
+        _slope(dk)
+        dk[:, -1] -= 1
+        dk *= m
+        on_k = np.empty_like(rows)
+        for i, (x, (lo, hi)) in enumerate(zip(rows, spans)):
+            dh[lo:hi] += dk[lo:hi] @ x
+            np.matmul(dk[lo:hi].T, h[lo:hi], out=on_k[i])
+        # targets among their class
+        q_t = self.q.take(t, axis=0)
         ep = (_slope(np.einsum("ij,ij->i", h, q_t) - noise.shift[t]) - 1) * m
         dh += np.multiply(ep[:, None], q_t, out=q_t)
-        on_n = np.empty((len(kinds), p.inner, h.shape[1]), dtype=np.float32)
-        for i, (lo, hi) in enumerate(zip(first.tolist(), [*first[1:].tolist(), len(k)])):
-            q_n = self.q[at[i]]
-            en = _slope(h[lo:hi] @ q_n.T - noise.shift[at[i]]) * m
-            dh[lo:hi] += en @ q_n
-            on_n[i] = en.T @ h[lo:hi]
-        units = _starts(t)
+        h_sums = dn.T @ h
         h *= ep[:, None]
-        self._move(self.q, gq, np.concatenate([t[units], at.ravel()]), np.concatenate([np.add.reduceat(h, units, axis=0), on_n.reshape(-1, h.shape[1])]))
-        self._move(self.a, ga, np.concatenate([kinds, some]), on_a)
+        units = _starts(t)
+        self._move(self.q, gq, [(t[units], _run_sums(h, np.arange(len(t)), units)), *((at[:, j], on_k[:, j]) for j in range(inner))])
+        drawn, which = np.unique(some, return_inverse=True)
+        on_some = (which == np.arange(len(drawn))[:, None]).astype(np.float32) @ h_sums
+        self._move(self.a, ga, [(kinds, on_k[:, -1]), (drawn, on_some)])
         dh = np.ascontiguousarray(dh[:, :-1])
         on_c = np.stack([np.einsum("ij,ij->j", dh, e) for e in emb])
-        seen, sums = zip(*[_row_sums(cx[:, j], dh) for j in range(n)])
-        self._move(self.r, gr, np.concatenate(seen), np.concatenate([x * self.c[j] for j, x in enumerate(sums)]))
-        self._move(self.c, gc, np.arange(n), on_c)
-
-    def _move(self, par, g2, at, grad) -> None:
-        rows, grad = _row_sums(at, grad)
-        g2[rows] += grad * grad
-        par[rows] -= np.float32(self.p.rate) * grad / (np.sqrt(g2[rows]) + np.float32(1e-6))
-
-    def by_context(self) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
-        """For each place of a context: what each of its units adds to the classes' scores, the greatest of that, and the exponentials less the greatest."""
+        on_r = []
+        for j in range(n):
+            order = _order(cx[:, j])
+            line = cx[order, j]
+            begin = _starts(line)
+            on_r.append((line[begin], _run_sums(dh, order, begin) * self.c[j]))
+        self._move(self.r, gr, on_r)
+        self._move(self.c, gc, [(np.arange(n), on_c)])
+
+    def _move(self, par, g2, parts) -> None:
+        """parts: rows, each once in a part, and their gradients."""
+        rows = np.concatenate([at for at, _ in parts])
+        rows = rows[_order(rows)]
+        rows = rows[_starts(rows)]
+        grad = np.zeros((len(rows), par.shape[1]), dtype=np.float32)
+        for at, x in parts:
+            grad[np.searchsorted(rows, at)] += x
+        g2_rows = g2.take(rows, axis=0)
+        g2_rows += grad * grad
+        g2[rows] = g2_rows
+        np.sqrt(g2_rows, out=g2_rows)
+        g2_rows += np.float32(1e-6)
+        grad *= np.float32(self.p.rate)
+        grad /= g2_rows
+        par[rows] -= grad
+
+    def tables(self) -> Tables:
+        """What scoring reads of the parameters, made once for many calls."""
         adds = [(self.r * self.c[j]).astype(np.float64) @ self.a[:, :-1].T.astype(np.float64) for j in range(self.p.context)]
         adds[0] += self.a[:, -1]
         tops = [x.max(axis=1) for x in adds]
-        return adds, tops, [np.exp(x - top[:, None]) for x, top in zip(adds, tops)]
+        scaled = [self.r * self.c[j] for j in range(self.p.context)]
+        w = self.p.width
+        inner = [np.ascontiguousarray(self.q[k * w : k * w + w].T.astype(np.float64)) for k in range(self.p.classes)]
+        reach = sum(float(np.linalg.norm(x.astype(np.float64), axis=1).max()) for x in scaled) * float(np.linalg.norm(self.q[:, :-1].astype(np.float64), axis=1).max())
+        return Tables(adds, tops, [np.exp(x - top[:, None]) for x, top in zip(adds, tops)], scaled, inner, reach + float(np.abs(self.q[:, -1]).max()))
 
-    def log10(self, ctx: np.ndarray, y: np.ndarray, block: int = 4096) -> np.ndarray:
+    def log10(self, ctx: np.ndarray, y: np.ndarray, block: int = 4096, tables: Tables | None = None) -> np.ndarray:
         """Normalised log10 probabilities of the targets: of their classes, from sums of products of the context units' exponentials, and of the
         units class by class. Products are in double precision, so that a score doesn't depend on the rows beside it; blocks stay in the
         processor's cache."""
         w, out = self.p.width, np.empty(len(y))
-        adds, tops, exps = self.by_context()
-        inner = [np.ascontiguousarray(self.q[k * w : k * w + w].T.astype(np.float64)) for k in range(self.p.classes)]
+        tables = tables or self.tables()
+        adds, tops, exps, inner = tables.adds, tables.tops, tables.exps, tables.inner
         h, each = np.ones((min(block, len(y)), self.p.dims + 1)), np.arange(block)
-        room = np.empty((min(block, len(y)), w))
+        room, ones = np.empty((min(block, len(y)), w)), np.ones(w)
 
         def parts(x, by, at):
-            """Scores at the places, and the logs of the rows' sums of exponentials."""
+            """Scores at the places, and the rows' sums of exponentials."""
             z = np.matmul(x, by, out=room.reshape(-1)[: len(x) * by.shape[1]].reshape(len(x), -1))
-            if (top := z.max()) > 500:
+            if tables.reach > 500 and (top := z.max()) > 500:
                 z -= top
             found = z[each[: len(z)], at]
-            return found, np.log(np.exp(z, out=z).sum(axis=1))
+            return found, np.exp(z, out=z) @ ones[: z.shape[1]]
 
         def of_classes(cx, k):
             """Log probabilities of the classes."""
             places = [cx[:, j] for j in range(self.p.context)]
-            rows = exps[0][places[0]]
+            rows = exps[0].take(places[0], axis=0)
             for x, at in zip(exps[1:-1], places[1:-1]):
                 rows *= x[at]
-            sums = np.einsum("ij,ij->i", rows, exps[-1][places[-1]]) if len(places) > 1 else rows.sum(axis=1)
+            sums = np.einsum("ij,ij->i", rows, exps[-1].take(places[-1], axis=0)) if len(places) > 1 else rows.sum(axis=1)
             logs = np.log(np.maximum(sums, 1e-300)) + sum(top[at] for top, at in zip(tops, places))
             for i in np.flatnonzero(sums < 1e-250).tolist():  # the units' greatest lie too far apart for products
                 z = sum(x[at[i]] for x, at in zip(adds, places))
@@ -314,15 +378,16 @@ class LogBilinear:
             return sum(x[at, k] for x, at in zip(adds, places)) - logs
 
         for i in range(0, len(y), block):
-            by_class = np.argsort(y[i : i + block], kind="stable")
+            by_class = _order(y[i : i + block])
             t, n, cx = y[i : i + block][by_class], len(by_class), ctx[i : i + block][by_class]
             k = t // w
-            h[:n, :-1] = self.embedded(cx)
+            h[:n, :-1] = self.embedded(cx, tables.scaled)
             found = of_classes(cx, k)
-            first = _starts(k)
+            first, sums, place = _starts(k), np.empty(n), t - k * w
             for lo, hi in zip(first.tolist(), [*first[1:].tolist(), n]):
-                more, log = parts(h[lo:hi], inner[k[lo]], t[lo:hi] - k[lo] * w)
-                found[lo:hi] += more - log
+                more, sums[lo:hi] = parts(h[lo:hi], inner[k[lo]], place[lo:hi])
+                found[lo:hi] += more
+            found -= np.log(sums)
             out[i + by_class] = found
         return out / math.log(10)
 
@@ -499,6 +564,8 @@ def score(encoded: DataFrame, stats: Statistics, units: Units, model: LogBilinea
     n_all, v_all, kind = stats.tokens, stats.distinct, units.kind
 
     def start():
+        tables = model.tables()
+
         def rows_of(cols):
             found = [np.frombuffer(u, kind) for u in cols["units"]]
             ends = np.cumsum([len(u) for u in found])
@@ -506,7 +573,7 @@ def score(encoded: DataFrame, stats: Statistics, units: Units, model: LogBilinea
             begin = 0
             while begin < len(found):  # as many texts as make up a block; a longer one alone, its contexts in pieces
                 end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + 65536, side="right")))
-                each = model.log10(*model.contexts(found[begin:end]))
+                each = model.log10(*model.contexts(found[begin:end]), tables=tables)
                 size = np.array([len(u) for u in found[begin:end]])
                 logs[begin:end] = [float(x.sum()) for x in np.split(each, np.cumsum(size)[:-1])]
                 begin = end

@@ -464,6 +464,25 @@ def test_language_model_units_follow_the_corpus():
     assert right.mean() > wrong.mean() + 0.5
 
 
+def test_lm_sums_of_runs_and_tables_made_once():
+    draw = np.random.default_rng(8)
+    for most in (1, 3, 40, 5000):
+        keys, x = draw.integers(0, most, 3000), draw.normal(size=(3000, 5))
+        order = op10_lm._order(keys)
+        first = op10_lm._starts(keys[order])
+        assert np.allclose(op10_lm._run_sums(x, order, first), np.add.reduceat(x[order], first, axis=0))
+    big = np.array([70_000, 4464, 70_000, 1])  # beyond 16 bits
+    assert op10_lm._order(big).tolist() == [3, 1, 0, 2]
+    p = op10_lm.LmParams(own=40, endings=9)
+    m = op10_lm.LogBilinear(p)
+    ctx, y = m.contexts([draw.integers(0, p.units, 900)])
+    assert (m.log10(ctx, y, tables=m.tables()) == m.log10(ctx, y)).all()
+    # a step moves the parameters by the gradient of all rows, noise that is drawn twice included
+    before, g = m.flat.copy(), np.full_like(m.flat, 1e-4)
+    m.train(ctx, y, op10_lm.Noise(p, np.ones(p.units)), draw, g)
+    assert np.isfinite(m.flat).all() and ((g > np.float32(1e-4)) <= (m.flat != before)).mean() > 0.99
+
+
 def test_release_trims_the_drivers_native_heap(spark):
     from tessera.llm.common import release
 
