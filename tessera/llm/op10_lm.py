@@ -346,49 +346,53 @@ class LogBilinear:
         reach = sum(float(np.linalg.norm(x.astype(np.float64), axis=1).max()) for x in scaled) * float(np.linalg.norm(self.q[:, :-1].astype(np.float64), axis=1).max())
         return Tables(adds, tops, [np.exp(x - top[:, None]) for x, top in zip(adds, tops)], scaled, inner, reach + float(np.abs(self.q[:, -1]).max()))
 
-    def log10(self, ctx: np.ndarray, y: np.ndarray, block: int = 4096, tables: Tables | None = None) -> np.ndarray:
+    def log10(self, ctx: np.ndarray, y: np.ndarray, block: int = 65536, tables: Tables | None = None) -> np.ndarray:
         """Normalised log10 probabilities of the targets: of their classes, from sums of products of the context units' exponentials, and of the
-        units class by class. Products are in double precision, so that a score doesn't depend on the rows beside it; blocks stay in the
-        processor's cache."""
-        w, out = self.p.width, np.empty(len(y))
+        units among their class. A block is gone through class by class, in pieces that stay in the processor's cache. Products are in double
+        precision, so that a score doesn't depend on the rows beside it."""
+        w, out, most = self.p.width, np.empty(len(y)), 1024
         tables = tables or self.tables()
-        adds, tops, exps, inner = tables.adds, tables.tops, tables.exps, tables.inner
-        h, each = np.ones((min(block, len(y)), self.p.dims + 1)), np.arange(block)
-        room, ones = np.empty((min(block, len(y)), w)), np.ones(w)
+        adds, tops, exps = tables.adds, tables.tops, tables.exps
+        h, each = np.ones((min(most, len(y)), self.p.dims + 1)), np.arange(most)
+        room, ones = np.empty((min(most, len(y)), w)), np.ones(w)
 
-        def parts(x, by, at):
-            """Scores at the places, and the rows' sums of exponentials."""
+        def of_units(x, by, at):
+            """The units' scores, and their rows' sums of exponentials."""
             z = np.matmul(x, by, out=room.reshape(-1)[: len(x) * by.shape[1]].reshape(len(x), -1))
             if tables.reach > 500 and (top := z.max()) > 500:
                 z -= top
             found = z[each[: len(z)], at]
             return found, np.exp(z, out=z) @ ones[: z.shape[1]]
 
-        def of_classes(cx, k):
-            """Log probabilities of the classes."""
+        def of_class(cx, k):
+            """Scores of class k, and logs of the rows' sums of exponentials."""
             places = [cx[:, j] for j in range(self.p.context)]
             rows = exps[0].take(places[0], axis=0)
             for x, at in zip(exps[1:-1], places[1:-1]):
                 rows *= x[at]
             sums = np.einsum("ij,ij->i", rows, exps[-1].take(places[-1], axis=0)) if len(places) > 1 else rows.sum(axis=1)
-            logs = np.log(np.maximum(sums, 1e-300)) + sum(top[at] for top, at in zip(tops, places))
-            for i in np.flatnonzero(sums < 1e-250).tolist():  # the units' greatest lie too far apart for products
+            logs = sum(top[at] for top, at in zip(tops, places))
+            low = np.flatnonzero(sums < 1e-250)
+            for i in low.tolist():  # the units' greatest lie too far apart for products
                 z = sum(x[at[i]] for x, at in zip(adds, places))
-                logs[i] = z.max() + np.log(np.exp(z - z.max()).sum())
-            return sum(x[at, k] for x, at in zip(adds, places)) - logs
+                logs[i], sums[i] = z.max(), np.exp(z - z.max()).sum()
+            return sum(x[at, k] for x, at in zip(adds, places)) - logs, sums
 
         for i in range(0, len(y), block):
             by_class = _order(y[i : i + block])
-            t, n, cx = y[i : i + block][by_class], len(by_class), ctx[i : i + block][by_class]
-            k = t // w
-            h[:n, :-1] = self.embedded(cx, tables.scaled)
-            found = of_classes(cx, k)
-            first, sums, place = _starts(k), np.empty(n), t - k * w
-            for lo, hi in zip(first.tolist(), [*first[1:].tolist(), n]):
-                more, sums[lo:hi] = parts(h[lo:hi], inner[k[lo]], place[lo:hi])
-                found[lo:hi] += more
-            found -= np.log(sums)
-            out[i + by_class] = found
+            t, cx = y[i : i + block][by_class], ctx[i : i + block][by_class]
+            k, found, sums = t // w, np.empty(len(t)), np.empty(len(t))
+            first = _starts(k)
+            for begin, end in zip(first.tolist(), [*first[1:].tolist(), len(t)]):
+                mine = int(k[begin])
+                for lo in range(begin, end, most):
+                    hi = min(end, lo + most)
+                    h[: hi - lo, :-1] = self.embedded(cx[lo:hi], tables.scaled)
+                    more, among = of_units(h[: hi - lo], tables.inner[mine], t[lo:hi] - mine * w)
+                    score, total = of_class(cx[lo:hi], mine)
+                    found[lo:hi] = score + more - np.log(total)
+                    sums[lo:hi] = among
+            out[i + by_class] = found - np.log(sums)
         return out / math.log(10)
 
 
@@ -471,17 +475,39 @@ def encode(docs: DataFrame, units: Units) -> DataFrame:
         seen: set = set()
 
         def rows_of(cols):
-            for doc_id, held, h, text in zip(cols["doc_id"], cols["held_out"], cols["h"], cols["text"]):
+            heads, held = [], []
+            for doc_id, out, h, text in zip(cols["doc_id"], cols["held_out"], cols["h"], cols["text"]):
                 again = (doc_id, h) in seen
                 if len(seen) > 200_000:
                     seen.clear()
                 seen.add((doc_id, h))
                 words = words_of(text)
-                at, unit = vocab.look_up(words)
-                known = at[at >= 0]
-                rare = Counter([words[k] for k in np.flatnonzero(at < 0).tolist()])
-                inner = float(vocab.log_c[known[known >= own]].sum()) - float(denominators[unit[unit >= own] - own].sum())
-                yield doc_id, held, h, again, len(words), len(known), float(vocab.log_c[known].sum()), inner, unit.astype(kind).tobytes(), list(rare.keys()), list(rare.values())
+                heads.append((doc_id, out, h, again, len(words)))
+                held += words
+                if len(held) > 32768:
+                    yield from looked_up(heads, held)
+                    heads, held = [], []
+            if heads:
+                yield from looked_up(heads, held)
+
+        def looked_up(heads, words):
+            """Rows of some documents, whose words are looked up together."""
+            at, unit = vocab.look_up(words)
+            size = np.array([x[-1] for x in heads])
+            begin = np.cumsum(size) - size
+            known, shared = at >= 0, unit >= own
+            log_c = np.zeros(len(at))
+            log_c[known] = vocab.log_c[at[known]]
+            inner = np.where(shared, log_c, 0.0)
+            inner[shared] -= denominators[unit[shared] - own]
+            sums = [np.add.reduceat(x, begin).tolist() for x in (known.astype(np.int64), log_c, inner)]
+            rare = np.flatnonzero(~known)
+            upto = np.searchsorted(rare, begin + size).tolist()
+            rare, unit, lo = rare.tolist(), unit.astype(kind), 0
+            for head, b, n, base, more, hi in zip(heads, begin.tolist(), *sums, upto):
+                times = Counter([words[k] for k in rare[lo:hi]])
+                yield *head, n, base, more, unit[b : b + head[-1]].tobytes(), list(times.keys()), list(times.values())
+                lo = hi
 
         return rows_of
 
